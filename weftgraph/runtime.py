@@ -62,15 +62,15 @@ def heavy_keys(df: DataFrame, cols: list[str], support: float = 0.01) -> dict[st
     return {c: sorted({x for x in (row[i] or []) if x is not None}) if row else [] for i, c in enumerate(cols)}
 
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", key: str | None = None, support: float = 0.02) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", key: str | None = None, support: float = 0.02, heavy: list | None = None) -> DataFrame:
     """Join a side with hot keys (``left``) to another without holding up one task.
 
-    Keys owning at least ``support`` of ``left`` are found by sketch. Their part of ``right`` is
+    Keys owning at least ``support`` of ``left`` are found by sketch, or given as ``heavy``. Their part of ``right`` is
     broadcast when it has at most ``BROADCAST_ROWS`` rows, else both sides are salted; all other keys
     take the ordinary shuffle join. ``how`` is inner, left, left_semi or left_anti. Null keys match nothing.
     """
     key = key or on[0]
-    heavy = heavy_keys(left, [key], support)[key]
+    heavy = heavy_keys(left, [key], support)[key] if heavy is None else heavy
     if not heavy:
         return left.join(right, on, how)
     hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
