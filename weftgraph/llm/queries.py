@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..queries.common import table
-from . import clean_events, groups, leaks, packing, runs, subsequences
+from . import clean_events, groups, leaks, packing, runs, subjects, subsequences
 
 
 def p2_found(spark, d):
@@ -78,3 +78,23 @@ SELECT id AS record_id, g AS group_id FROM cc""",
     "p5_found": _RUNS + "SELECT person_id, place, first_event_id, last_event_id FROM s WHERE events >= 2",
     "p5_spans": _RUNS + "SELECT * FROM s",
 }
+
+
+def _p9(spark, d):
+    docs = table(spark, d, "documents")
+    return subjects.document_subjects(docs, subjects.fit(docs, table(spark, d, "subject_labels")))
+
+
+def p9_found(spark, d):
+    return _p9(spark, d).select("doc_id", F.explode("subjects").alias("subject")).distinct()
+
+
+def p9_documents(spark, d):
+    return _p9(spark, d)
+
+
+def p9_composition(spark, d):
+    return subjects.composition(_p9(spark, d))
+
+
+QUERIES |= {q.__name__: q for q in (p9_found, p9_documents, p9_composition)}
