@@ -112,8 +112,6 @@ def fill_containers(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCAB
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: documents, containers, tokens, the least number of containers possible, fill (share of the space used)."""
-    per = packed.groupBy("container").agg(F.sum("tokens").alias("tokens"))
-    docs = packed.where("part = 0").agg(F.count(F.lit(1)).alias("documents"))
-    return per.agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens")).crossJoin(F.broadcast(docs)).select(
-        "documents", "containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("least_containers"), (F.col("tokens") / (F.col("containers") * capacity)).alias("fill")
-    )
+    per = packed.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("part") == 0).alias("documents"))
+    whole = per.agg(F.sum("documents").alias("documents"), F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
+    return whole.select("documents", "containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("least_containers"), F.try_divide(F.col("tokens"), F.col("containers") * capacity).alias("fill"))

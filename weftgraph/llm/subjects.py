@@ -304,5 +304,5 @@ def composition(found: DataFrame) -> DataFrame:
     """Share of documents of each subject, and of none: subject, documents, share. Over distinct doc_id."""
     per = found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("subjects"))).alias("subjects"))
     named = per.select(F.explode(F.when(F.size("subjects") > 0, F.col("subjects")).otherwise(F.array(F.lit("none")))).alias("subject"))
-    total = per.agg(F.count(F.lit(1)).alias("total"))
-    return named.groupBy("subject").agg(F.count(F.lit(1)).alias("documents")).join(F.broadcast(total)).select("subject", "documents", (F.col("documents") / F.col("total")).alias("share"))
+    total = max(1, per.count())
+    return named.groupBy("subject").agg(F.count(F.lit(1)).alias("documents")).withColumn("share", F.col("documents") / total)
