@@ -202,8 +202,8 @@ def discard_attributes(g: Graph, on: str, *names: str) -> Graph:
 
 def rename_attributes(g: Graph, on: str, changes: Mapping[str, str]) -> Graph:
     """New names; an empty one discards the attribute."""
-    df = _frame(g, on).drop(*(k for k, v in changes.items() if not v))
-    return _put(g, on, df.withColumnsRenamed({k: v for k, v in changes.items() if v}))
+    df = _frame(g, on)
+    return _put(g, on, df.select(*(F.col(c).alias(changes.get(c, c)) for c in df.columns if changes.get(c, c))))
 
 
 def set_icon(g: Graph, on: str, name: str, icon: str) -> Graph:

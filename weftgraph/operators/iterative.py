@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..runtime import drop, spill, split_join
+from ..runtime import BROADCAST_ROWS, drop, heavy_keys, rows_of, spill, split_join
 from .direction import both_ways, neighbours, pairs
 
 
@@ -54,7 +54,7 @@ def connected_components(g: Graph, directions: str = "ignore directions") -> Dat
     """id and component, the smallest id of it. ``require both directions`` uses only pairs linked both ways.
 
     Every vertex takes the least label around it and then that label's own label, so that labels travel
-    distances that double. Hubs' labels are broadcast.
+    distances that double. Labels are broadcast while they are few; else those of hubs are.
     """
     e = g.need_edges()
     if directions == "require both directions":
@@ -63,20 +63,21 @@ def connected_components(g: Graph, directions: str = "ignore directions") -> Dat
         e = simple_pairs(e, mutual=True).withColumnsRenamed({"a": "src", "b": "dst"})
     links = spill(neighbours(e).withColumnsRenamed({"center": "v", "other": "u"}))
     label = spill(g.vertices.select(F.col("id").alias("u"), F.col("id").alias("l")).distinct())
-    heavy = None
+    n = rows_of(label)
+    heavy = heavy_keys(links, ["u"], 0.02)["u"] if n > BROADCAST_ROWS else []
     while True:
-        if heavy is None:
-            from ..runtime import heavy_keys
-
-            heavy = heavy_keys(links, ["u"], 0.02)["u"]
-        near = split_join(links, label, ["u"], heavy=heavy).groupBy(F.col("v").alias("u")).agg(F.min("l").alias("m"))
+        near = split_join(links, label, ["u"], heavy=heavy, right_rows=n).groupBy(F.col("v").alias("u")).agg(F.min("l").alias("m"))
         hop = spill(label.join(near, "u", "left").select("u", F.least("l", "m").alias("l"), F.col("l").alias("old")))
-        onward = hop.select(F.col("u").alias("l"), F.col("l").alias("l2"))
-        after = spill(split_join(hop, onward, ["l"]).select("u", F.least("l", "l2").alias("l"), "old"))
+        step = hop.select("u", "l", "old")
+        for k in range(2):
+            onward = hop.select(F.col("u").alias("l"), F.col("l").alias(f"l{k}"))
+            step = split_join(step, onward, ["l"], right_rows=n).select("u", F.least("l", f"l{k}").alias("l"), "old")
+        after = spill(step)
         changed = after.where("l <> old").limit(1).count()
         drop(hop)
         drop(label)
-        label = after.select("u", "l")
+        label = after.drop("old")
+        label._weft_path = after._weft_path
         if not changed:
             return label.select(F.col("u").alias("id"), F.col("l").alias("component"))
 
@@ -355,11 +356,11 @@ def louvain(g: Graph, weight: str | None = None, resolution: float = 1.0, max_it
         best = quality(e, c)
         stale = 0
         for r in range(4 * max_iterations):
-            sums = c.join(k, "v").groupBy("c").agg(F.sum("k").alias("K"))
+            sums = c.join(k, "v").groupBy("c").agg(F.sum("k").alias("volume"))
             near = links.where("center <> other").join(c.withColumnsRenamed({"v": "other", "c": "d"}), "other").groupBy(F.col("center").alias("v"), "d").agg(F.sum("w").alias("w"))
             own = c.select("v", F.col("c").alias("d")).withColumn("w", F.lit(0.0))
             options = near.unionByName(own).groupBy("v", "d").agg(F.sum("w").alias("w")).join(k, "v").join(c, "v").join(sums.withColumnRenamed("c", "d"), "d")
-            gain = F.col("w") - resolution * F.col("k") * (F.col("K") - F.when(F.col("d") == F.col("c"), F.col("k")).otherwise(0.0)) / total
+            gain = F.col("w") - resolution * F.col("k") * (F.col("volume") - F.when(F.col("d") == F.col("c"), F.col("k")).otherwise(0.0)) / total
             turn = F.pmod(F.xxhash64("v", F.lit(level * 1000 + r)), F.lit(2)) == 0
             pick = options.where(turn).groupBy("v").agg(F.max_by("d", F.struct(gain, F.col("d") == F.col("c"), -F.col("d"))).alias("n"))
             moved = spill(c.join(pick, "v", "left").select("v", F.coalesce("n", "c").alias("c")))

@@ -110,9 +110,14 @@ def approximate_clustering_coefficient(g: Graph, bits: int = 12, name: str = "cl
     return v.select(F.col("center").alias("id"), value.alias(name))
 
 
+def _corr(a: str, b: str):
+    """Pearson correlation; null where a deviation is zero."""
+    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+
+
 def correlate(g: Graph, a: str, b: str) -> float:
     """Pearson correlation of two vertex attributes; an error where it is not defined."""
-    r = g.vertices.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.corr(a, b)).first()[0]
+    r = g.vertices.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(_corr(a, b)).first()[0]
     if r is None or r != r:
         raise ValueError(f"the correlation of {a} and {b} is not defined")
     return r
@@ -122,7 +127,7 @@ def assortativity(g: Graph, attribute: str) -> DataFrame:
     """One row: correlation of the attribute at the source with that at the target, over the edges."""
     v = g.vertices.where(F.col(attribute).isNotNull()).select("id", F.col(attribute).cast("double").alias("x"))
     ends = g.need_edges().select("src", "dst").join(v.withColumnsRenamed({"id": "src", "x": "a"}), "src").join(v.withColumnsRenamed({"id": "dst", "x": "b"}), "dst")
-    return ends.agg(F.corr("a", "b").alias("assortativity"))
+    return ends.agg(_corr("a", "b").alias("assortativity"))
 
 
 # Segmentations

@@ -141,11 +141,11 @@ class RecordGrammar:
                 yield at, text[at:end], self._typed(at, fields)
                 at = end + 1
                 continue
-            resume = self.next_anchor(text, at)
+            begin, resume = at, self.next_anchor(text, at)
             while at < min(resume, stop):
                 line = text.find("\n", at)
                 line = resume if line < 0 or line > resume else line
-                yield at, text[at:line], self.parse_record(text[at:line]) if at > fault.offset else fault
+                yield at, text[at:line], fault if at == begin else self.parse_record(text[at:line])
                 at = line + 1
             at = max(at, resume)
 

@@ -224,7 +224,7 @@ def pull_up(g: Graph, name: str, inner: str) -> Graph:
     """The segmentation ``inner`` of a segmentation as one of the base graph."""
     s = g.segmentation(name)
     t = s.graph.segmentation(inner)
-    m = s.membership.join(t.membership.withColumnsRenamed({"vid": "sid", "sid": "_t"}), "sid").select("vid", F.col("_t").alias("sid")).distinct()
+    m = s.membership.join(t.membership.select(F.col("vid").alias("sid"), F.col("sid").alias("_t")), "sid").select("vid", F.col("_t").alias("sid")).distinct()
     return g.with_segmentation(inner, Segmentation(t.graph, m))
 
 

@@ -16,7 +16,7 @@ Specs = Sequence[tuple[str, str]]
 
 
 def reverse_edges(g: Graph) -> Graph:
-    return g.with_edges(g.need_edges().withColumnsRenamed({"src": "dst", "dst": "src"}).select(*g.edges.columns))
+    return g.with_edges(g.need_edges().select(*(F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in g.edges.columns)))
 
 
 def add_reversed_edges(g: Graph, marker: str | None = None) -> Graph:

@@ -106,12 +106,17 @@ def sql(query: str, *inputs: Graph | DataFrame, names: list[str] | None = None,
             known[name] = x
     if "weft_hash(" in text:
         spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION weft_hash(s STRING, salt STRING) RETURNS STRING RETURN upper(sha2(concat(s, salt), 256))")
-    frames = {}
+    frames, parts = {}, []
     for i, k in enumerate(sorted(known, key=len, reverse=True)):
-        pattern = rf"(?<![\w.`])`?{r'`?[.]`?'.join(map(re.escape, k.split('.')))}`?(?![\w.`]*[.\w])" if "." in k else rf"(?<![\w.`])`?{re.escape(k)}`?(?!\w)(?=\s*(?:$|[\s,;)]))"
-        changed, n = re.subn(pattern, f"{{weft_{i}}}", text)
+        spelled = "`?[.]`?".join(map(re.escape, k.split(".")))
+        text, n = re.subn(rf"(?<![\w.`])`?{spelled}`?(?![\w`])(?![.]\w+[.])", lambda m, k=k: f"`{k}`" if "." in k else m.group(0), text)
         if n:
-            text, frames[f"weft_{i}"] = changed, known[k]
+            frames[f"weft_{i}"] = known[k]
+            parts.append(f"`{k}` AS (SELECT * FROM {{weft_{i}}})")
+    if parts:
+        own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", text, re.I)
+        head = f"WITH {(own and own.group(1)) or ''}{', '.join(parts)}"
+        text = f"{head}, {text[own.end() :]}" if own else f"{head} {text}"
     return spark.sql(text, **frames)
 
 

@@ -272,11 +272,11 @@ def merge_parallel_segment_links(spark, d):
     return V.belongs_to(g, g.segmentation("brands"), {"segment_brand"}).groupBy(F.col("segment_brand").alias("brand")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_BRANDS} SELECT brand, CAST(count(*) AS DOUBLE) AS price_count, round(sum(o_totalprice), 2) AS price_sum, round(avg(o_totalprice), 4) AS price_average, max(o_totalprice) AS price_max, round(stddev_samp(o_totalprice), 4) AS price_std_deviation FROM m JOIN orders ON vid = o_orderkey GROUP BY 1")
+@query(f"WITH {_BRANDS} SELECT brand, CAST(count(*) AS DOUBLE) AS price_count, round(sum(o_totalprice), 2) AS price_sum, round(avg(o_totalprice), 6) AS price_average, max(o_totalprice) AS price_max, round(stddev_samp(o_totalprice), 4) AS price_std_deviation FROM m JOIN orders ON vid = o_orderkey GROUP BY 1")
 def aggregate_to_segmentation(spark, d):
     g = _brands(spark, d)
     out = A.aggregate_to_segmentation(g, "brands", [("price", a) for a in ("count", "sum", "average", "max", "std_deviation")])
-    return g.segmentation("brands").graph.vertices.join(out, "id").select("brand", "price_count", r("price_sum", 2).alias("price_sum"), r("price_average").alias("price_average"), "price_max", r("price_std_deviation").alias("price_std_deviation"))
+    return g.segmentation("brands").graph.vertices.join(out, "id").select("brand", "price_count", r("price_sum", 2).alias("price_sum"), r("price_average", 6).alias("price_average"), "price_max", r("price_std_deviation").alias("price_std_deviation"))
 
 
 @query(f"WITH {_BRANDS} SELECT vid AS id, CAST(count(DISTINCT brand) AS DOUBLE) AS brands_brand_count_distinct, max(brand) AS brands_brand_max FROM m GROUP BY 1")
@@ -501,14 +501,14 @@ def _agg_sql(x: str, by: str, source: str) -> str:
     return f"""base AS ({source}),
 c AS (SELECT {by}, {x} AS x, count(*) AS n FROM base WHERE {x} IS NOT NULL GROUP BY 1, 2),
 m AS (SELECT {by}, arg_max(x, (n, x)) AS mc, max(n) AS cm, count(*) AS cd FROM c GROUP BY 1),
-s AS (SELECT {by}, CASE WHEN count({x}) > 0 THEN CAST(count({x}) AS DOUBLE) END AS x_count, round(sum({x}), 4) AS x_sum, max({x}) AS x_max, min({x}) AS x_min, round(avg({x}), 4) AS x_average, round(median({x}), 4) AS x_median,
-  CASE WHEN count({x}) > 0 THEN round(coalesce(stddev_samp({x}), 0), 4) END AS x_std_deviation FROM base GROUP BY 1)
+s AS (SELECT {by}, CASE WHEN count({x}) > 0 THEN CAST(count({x}) AS DOUBLE) END AS x_count, round(sum({x}), 4) AS x_sum, max({x}) AS x_max, min({x}) AS x_min, round(avg({x}), 8) AS x_average, round(median({x}), 4) AS x_median,
+  CASE WHEN count({x}) > 0 THEN round(coalesce(stddev_samp({x}), 0), 8) END AS x_std_deviation FROM base GROUP BY 1)
 SELECT s.{by}, x_count, x_sum, x_max, x_min, x_average, x_median, x_std_deviation, CAST(cd AS DOUBLE) AS x_count_distinct, mc AS x_most_common, CAST(cm AS DOUBLE) AS x_count_most_common, x_min AS x_first FROM s LEFT JOIN m ON s.{by} = m.{by}"""
 
 
 def _rounded(df, key):
     exact = {"max", "min", "first", "most_common", "count", "count_distinct", "count_most_common"}
-    return df.select(key, *(F.col(f"x_{a}") if a in exact else r(f"x_{a}").alias(f"x_{a}") for a in _ALL))
+    return df.select(key, *(F.col(f"x_{a}") if a in exact else r(f"x_{a}", 8 if a in ("average", "std_deviation") else 4).alias(f"x_{a}") for a in _ALL))
 
 
 @query("WITH " + _agg_sql("l_quantity", "l_returnflag", "SELECT l_returnflag, l_quantity FROM lineitem"))
@@ -542,10 +542,10 @@ for _way, _source in {"incoming edges": "SELECT dst AS id, weight FROM e", "outg
     )
 
 
-@query(f"WITH {PEOPLE} SELECT dst AS id, round(sum(age * weight), 4) AS age_weighted_sum_by_weight, round(sum(age * weight) / sum(CASE WHEN age IS NOT NULL THEN weight END), 4) AS age_weighted_average_by_weight, arg_max(age, (weight, age)) FILTER (age IS NOT NULL) AS age_by_max_weight_by_weight, arg_min(age, (weight, age)) FILTER (age IS NOT NULL) AS age_by_min_weight_by_weight FROM e JOIN v ON src = id GROUP BY 1")
+@query(f"WITH {PEOPLE} SELECT dst AS id, round(sum(age * weight), 4) AS age_weighted_sum_by_weight, round(sum(age * weight) / sum(CASE WHEN age IS NOT NULL THEN weight END), 8) AS age_weighted_average_by_weight, arg_max(age, (weight, age)) FILTER (age IS NOT NULL) AS age_by_max_weight_by_weight, arg_min(age, (weight, age)) FILTER (age IS NOT NULL) AS age_by_min_weight_by_weight FROM e JOIN v ON src = id GROUP BY 1")
 def weighted_aggregate_on_neighbors(spark, d):
     out = A.aggregate_on_neighbours(people(spark, d), "incoming edges", [("age", a) for a in ("weighted_sum", "weighted_average", "by_max_weight", "by_min_weight")], "weight", "")
-    return out.select("id", *(r(c).alias(c) if "weighted_" in c else F.col(c) for c in out.columns if c != "id"))
+    return out.select("id", *(r(c, 8 if "average" in c else 4).alias(c) if "weighted_" in c else F.col(c) for c in out.columns if c != "id"))
 
 
 @query("SELECT CAST(count(c_acctbal) AS DOUBLE) AS c_acctbal_count, round(sum(c_acctbal), 2) AS c_acctbal_sum, round(avg(c_acctbal), 4) AS c_acctbal_average, (SELECT CAST(count(DISTINCT c_mktsegment) AS DOUBLE) FROM customer) AS c_mktsegment_count_distinct, (SELECT arg_max(c_mktsegment, (n, c_mktsegment)) FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)) AS c_mktsegment_most_common FROM customer")

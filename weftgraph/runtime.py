@@ -6,11 +6,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a broadcast side of :func:`split_join` may have at most; beyond it the join is salted.
-BROADCAST_ROWS = 200_000
+#: Rows that a side may have at most to be broadcast by :func:`split_join`, which counts them before.
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,16 +27,23 @@ def spill(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()``, but computes the plan only once, stores it
-    compressed by column, and survives the loss of executors.
+    compressed by column, and survives the loss of executors. The rows are counted as they are written (:func:`rows_of`).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftgraph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._weft_path = path
+    out._weft_path, out._weft_rows = path, seen.get["n"]
     return out
 
 
+def rows_of(df: DataFrame) -> int:
+    """Number of rows, without a job for a table that :func:`spill` has just written."""
+    n = getattr(df, "_weft_rows", None)
+    return df.count() if n is None else n
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete a table written by :func:`spill` that nothing will read again."""
     path = getattr(df, "_weft_path", None)
@@ -62,14 +69,20 @@ def heavy_keys(df: DataFrame, cols: list[str], support: float = 0.01) -> dict[st
     return {c: sorted({x for x in (row[i] or []) if x is not None}) if row else [] for i, c in enumerate(cols)}
 
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", key: str | None = None, support: float = 0.02, heavy: list | None = None) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", key: str | None = None, support: float = 0.02, heavy: list | None = None, right_rows: int | None = None) -> DataFrame:
     """Join a side with hot keys (``left``) to another without holding up one task.
 
-    Keys owning at least ``support`` of ``left`` are found by sketch, or given as ``heavy``. Their part of ``right`` is
-    broadcast when it has at most ``BROADCAST_ROWS`` rows, else both sides are salted; all other keys
-    take the ordinary shuffle join. ``how`` is inner, left, left_semi or left_anti. Null keys match nothing.
+    A ``right`` of at most ``BROADCAST_ROWS`` rows (counted, unless ``right_rows`` says how many it has at most) is broadcast. Else, keys owning at least ``support`` of ``left`` are found
+    by sketch, or given as ``heavy``: their part of ``right`` is broadcast when it has at most as many rows, or both
+    sides are salted; all other keys take the ordinary shuffle join. ``how`` is inner, left, left_semi or left_anti. Null keys match nothing.
     """
     key = key or on[0]
+    if right_rows is None:
+        right_rows = getattr(right, "_weft_rows", None)
+    if right_rows is None:
+        right_rows = right.limit(BROADCAST_ROWS + 1).count()
+    if right_rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
     heavy = heavy_keys(left, [key], support)[key] if heavy is None else heavy
     if not heavy:
         return left.join(right, on, how)
