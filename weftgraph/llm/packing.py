@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spill
+from ..runtime import rows_of, spill
 
 CAPACITY = 2_048
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -85,7 +85,7 @@ def fill_containers(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCAB
     no task grows with the corpus. A shard leaves no more than its last containers partly filled.
     """
     counted = spill(token_counts(docs, path, pattern, id_col, text_col).dropDuplicates(["doc_id", "text_hash"]))
-    shards = max(1, -(-counted.count() // shard_docs))
+    shards = max(1, -(-rows_of(counted) // shard_docs))
     shard = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(shards)).cast("int")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -28,6 +28,8 @@ SHRINK, INTERPOLATE = 2.0, 2.0
 #: Evidence (nats) from which a sentence is taken as of a labelled subject while fitting, and of one that is not labelled.
 FIT_EVIDENCE, FREE_EVIDENCE = 0.0, 5.0
 ROUNDS = 3
+#: No word counts more than this (nats) against a subject: a term borrowed in passing must not outweigh what a sentence is about.
+LEAST_RATIO = -1.2
 #: Sentences that one labelled document weighs as at most.
 DOC_WEIGHT = 30
 #: Three-letter language codes and their two-letter forms (fixed values).
@@ -197,7 +199,7 @@ def _model(pdf: pd.DataFrame, languages: Languages) -> Model:
     pair = np.log((c[:, :n] + INTERPOLATE * ratio[w]) / (rate + INTERPOLATE))
     keys = v * size + w
     order = np.argsort(keys)
-    return Model(languages, np.log(ratio), keys[order], pair[order], np.full(n, FIT_EVIDENCE))
+    return Model(languages, np.maximum(np.log(ratio), LEAST_RATIO), keys[order], np.maximum(pair[order], LEAST_RATIO), np.full(n, FIT_EVIDENCE))
 
 
 def _best(owner: np.ndarray, evidence: np.ndarray, n: int) -> np.ndarray:
@@ -213,7 +215,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED_DOC
     chosen = people.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     named = votes.join(chosen, "doc_id").where("n * 2 >= all").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     lang = F.udf(language_code)("lang") if "lang" in docs.columns else F.lit("")
-    return docs.where("doc_id is not null and text is not null").join(F.broadcast(named), "doc_id").select("doc_id", "text", lang.alias("lang"), "subjects").dropDuplicates(["doc_id"])
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text", lang.alias("lang"))
+    return texts.join(F.broadcast(named), "doc_id").select("doc_id", "text", "lang", "subjects").dropDuplicates(["doc_id"])
 
 
 def _languages(sample: DataFrame) -> Languages:
