@@ -223,9 +223,14 @@ def _grid_near(points: DataFrame, dims: Sequence[str], radius: float) -> DataFra
     """Ordered pairs of points within the radius: src, dst, dist. Points meet only in their own and neighbouring cells."""
     cell = F.array(*(F.floor(F.col(d) / radius) for d in dims))
     p = points.withColumn("_cell", cell)
+
+    def with_dimension(cells, i: int):
+        side = F.array(*(F.col("_cell")[i] + k for k in (-1, 0, 1)))
+        return F.flatten(F.transform(cells, lambda c: F.transform(side, lambda x: F.concat(c, F.array(x)))))
+
     around = F.array(F.array().cast("array<bigint>"))
     for i in range(len(dims)):
-        around = F.flatten(F.transform(around, lambda a, i=i: F.transform(F.array(*(F.lit(k) for k in (-1, 0, 1))), lambda k: F.concat(a, F.array(F.col("_cell")[i] + k)))))
+        around = with_dimension(around, i)
     a = p.select(F.col("id").alias("src"), *(F.col(d).alias(f"_a_{d}") for d in dims), "_cell")
     b = p.select(F.col("id").alias("dst"), *(F.col(d).alias(f"_b_{d}") for d in dims), F.explode(around).alias("_cell"))
     dist = F.sqrt(sum(((F.col(f"_a_{d}") - F.col(f"_b_{d}")) ** 2 for d in dims), F.lit(0.0)))

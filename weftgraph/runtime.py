@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a side may have at most to be broadcast by :func:`split_join`, which counts them before.
@@ -27,21 +27,24 @@ def spill(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()``, but computes the plan only once, stores it
-    compressed by column, and survives the loss of executors. The rows are counted as they are written (:func:`rows_of`).
+    compressed by column, and survives the loss of executors.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftgraph/{uuid.uuid4().hex}"
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._weft_path, out._weft_rows = path, seen.get["n"]
+    out._weft_path = path
     return out
 
 
 def rows_of(df: DataFrame) -> int:
-    """Number of rows, without a job for a table that :func:`spill` has just written."""
+    """Number of rows; of a table written by :func:`spill` it is read from the footers, and once only."""
     n = getattr(df, "_weft_rows", None)
-    return df.count() if n is None else n
+    if n is None:
+        n = df.count()
+        if hasattr(df, "_weft_path"):
+            df._weft_rows = n
+    return n
 
 
 def drop(df: DataFrame | None) -> None:
@@ -78,9 +81,7 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     """
     key = key or on[0]
     if right_rows is None:
-        right_rows = getattr(right, "_weft_rows", None)
-    if right_rows is None:
-        right_rows = right.limit(BROADCAST_ROWS + 1).count()
+        right_rows = rows_of(right) if hasattr(right, "_weft_path") else right.limit(BROADCAST_ROWS + 1).count()
     if right_rows <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), on, how)
     heavy = heavy_keys(left, [key], support)[key] if heavy is None else heavy
