@@ -63,6 +63,13 @@ def test_more_centralities(example):
     assert values(I.closeness(example, harmonic=True), digits=2) == {0: 0.33, 1: 0.33, 2: 0.67, 3: 0.0}
 
 
+def test_sfigality_and_k_path(adjacency):
+    g = adjacency({0: [1, 2, 3], 1: [2], 2: [], 3: [], 4: []})
+    assert values(I.sfigality(g), digits=2) == {0: 0.0, 1: 0.5, 2: 0.5, 3: 1.0, 4: 0.0}
+    k = values(I.k_path_centrality(g, 3, 200, seed=1))
+    assert k[4] == 0 and k[0] == max(k.values())
+
+
 def test_betweenness(adjacency):
     g = adjacency({0: [1], 1: [2], 2: [3], 3: []})
     assert values(I.betweenness(g)) == {0: 0, 1: 2, 2: 2, 3: 0}
@@ -351,13 +358,16 @@ def test_segmentations(example, spark):
 
 
 def test_event_sequences(spark):
-    g = Graph(spark.createDataFrame([(1,), (2,)], "id bigint"))
-    ev = spark.createDataFrame([(1, 1.01, "1"), (1, 1.11, "2"), (1, 1.21, "3"), (2, 1.02, "1"), (2, 1.03, "1"), (2, 1.12, "2")], "person bigint, t double, loc string")
-    s = S.by_event_sequence(g, "loc", "t", ev, "continuous", 2, 0.1, 0.31).segmentation("event_sequences")
-    got = {(r.bucket, tuple(r.locations)) for r in s.graph.vertices.collect()}
-    assert (9, ("1", "2")) in got and (10, ("1", "2")) in got and (10, ("2", "3")) in got
-    s = S.by_event_sequence(g, "loc", "t", ev, "with gaps", 2, 0.1, 0.31).segmentation("event_sequences")
-    assert {tuple(r.locations) for r in s.graph.vertices.collect()} >= {("1", "3"), ("1", "2"), ("2", "3")}
+    def found(events, *args):
+        ev = spark.createDataFrame([(1, *x) for x in events], "person bigint, t double, loc string")
+        g = Graph(spark.createDataFrame([(1,)], "id bigint"))
+        return sorted((r.bucket, "".join(r.locations)) for r in S.by_event_sequence(g, "loc", "t", ev, *args).segmentation("event_sequences").graph.vertices.collect())
+
+    events = [(1.0, "1"), (1.1, "2"), (1.21, "2"), (1.3, "3"), (1.4, "3"), (1.5, "3"), (1.6, "1"), (1.7, "1")]
+    assert found(events, "continuous", 3, 0.1, 5.0) == [(10, "123"), (11, "231"), (12, "231")]
+    assert found(events[:3], "continuous", 3, 0.1, 5.0) == [(10, "12")]
+    events = [(1.01, "1"), (1.11, "2"), (1.21, "3"), (1.31, "3")]
+    assert found(events, "with gaps", 2, 0.1, 0.31) == [(10, "12"), (10, "13"), (10, "23"), (10, "33"), (11, "23"), (11, "33"), (12, "33")]
 
 
 def test_build(spark, example):

@@ -238,6 +238,36 @@ def laplacian_centrality(g: Graph, name: str = "centrality") -> DataFrame:
     return out.select("id", (F.col("d") * F.col("d") + F.col("d") + 2 * F.col("k")).cast("double").alias(name))
 
 
+def sfigality(g: Graph, name: str = "centrality") -> DataFrame:
+    """Share of the neighbours that have more neighbours than the vertex: id and value."""
+    near = neighbours(g.need_edges())
+    d = near.groupBy("center").agg(F.count(F.lit(1)).alias("d"))
+    per = near.join(d, "center").join(d.select(F.col("center").alias("other"), F.col("d").alias("k")), "other").groupBy(F.col("center").alias("id")).agg((F.count_if(F.col("k") > F.col("d")) / F.count(F.lit(1))).alias(name))
+    return g.vertices.select("id").join(per, "id", "left").fillna(0.0, [name])
+
+
+def k_path_centrality(g: Graph, k: int = 3, samples: int = 1000, seed: int = 0, name: str = "centrality") -> DataFrame:
+    """How often random simple paths of 1 to ``k`` edges visit a vertex after their start, times vertices over paths: id and value.
+
+    Starts, lengths and turns are hashes; every path is a row, extended once a round.
+    """
+    near = spill(neighbours(g.need_edges()).groupBy(F.col("center").alias("at")).agg(F.array_sort(F.collect_list("other")).alias("near")))
+    n = max(1, g.vertices.count())
+    each = -(-samples // n)
+    w = g.vertices.select(F.col("id").alias("at"), F.explode(F.sequence(F.lit(1), F.lit(each))).alias("i")).withColumn("w", F.xxhash64("at", "i", F.lit(seed)))
+    w = spill(w.select("w", "at", F.array("at").alias("path"), (F.pmod(F.col("w"), F.lit(k)) + 1).alias("length")))
+    visits = None
+    for step in range(1, k + 1):
+        free = F.filter("near", lambda x: ~F.array_contains("path", x))
+        turn = w.where(F.col("length") >= step).join(near, "at").withColumn("free", free).where(F.size("free") > 0)
+        pick = F.get("free", F.pmod(F.xxhash64("w", F.lit(step)), F.size("free")).cast("int"))
+        w = spill(turn.select("w", "length", "path", pick.alias("to")).select("w", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), "length"))
+        here = w.select("at")
+        visits = here if visits is None else visits.unionByName(here)
+    per = visits.groupBy(F.col("at").alias("id")).agg((F.count(F.lit(1)) / each).alias(name))
+    return g.vertices.select("id").join(per, "id", "left").fillna(0.0, [name])
+
+
 def diameter(g: Graph, max_error: float = 0.0, sweeps: int = 4) -> tuple[int, int]:
     """Lower and upper bound of the longest shortest undirected path (infinite distances aside).
 
@@ -273,13 +303,22 @@ def spanning_tree(g: Graph, weight: str | None = None, optimize: str = "Minimal
     w = (F.col(weight) if weight else F.lit(1.0)) * (1 if optimize.startswith("Min") else -1)
     e = spill(g.need_edges().where("src <> dst").select("eid", F.col("src").alias("a"), F.col("dst").alias("b"), w.cast("double").alias("w")))
     chosen = []
-    while e.limit(1).count():
+    while rows_of(e):
         ends = e.select("eid", "w", F.inline(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o")), F.struct(F.col("b").alias("c"), F.col("a").alias("o")))))
         best = spill(ends.groupBy("c").agg(F.min(F.struct("w", "eid", "o")).alias("e")).select("c", "e.eid", "e.o"))
+        n = rows_of(best)
         chosen.append(best.select("eid").distinct())
-        joined = connected_components(Graph(best.select(F.col("c").alias("id")), best.select(F.col("c").alias("src"), F.col("o").alias("dst"))))
-        lead = spill(joined)
-        after = e.join(lead.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(lead.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
+        # the chosen edges form trees, each with one pair that chose each other; its smaller end is the root
+        back = best.select(F.col("c").alias("o"), F.col("o").alias("back"))
+        lead = spill(split_join(best, back, ["o"], right_rows=n).select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("o")))
+        while True:
+            onward = lead.select(F.col("c").alias("o"), F.col("o").alias("o2"))
+            after = spill(split_join(lead, onward, ["o"], right_rows=n).select("c", F.col("o2").alias("o"), (F.col("o2") != F.col("o")).alias("moved")))
+            lead = after.drop("moved")
+            if not after.where("moved").limit(1).count():
+                break
+        x, y = lead.select(F.col("c").alias("a"), F.col("o").alias("x")), lead.select(F.col("c").alias("b"), F.col("o").alias("y"))
+        after = split_join(split_join(e, x, ["a"], right_rows=n), y, ["b"], right_rows=n)
         after = spill(after.where("x <> y").select("eid", F.col("x").alias("a"), F.col("y").alias("b"), "w"))
         drop(e)
         e = after

@@ -63,33 +63,34 @@ def by_vector(g: Graph, attr: str, name: str = "bucketing") -> Graph:
 
 
 def by_event_sequence(g: Graph, locations: str, time: str, people: DataFrame, algorithm: str = "continuous", length: int = 2, step: float = 3600.0, window: float = 7200.0, name: str = "event_sequences") -> Graph:
-    """Segments of people who share a sequence of locations at a time.
+    """Segments of people who share a sequence of locations at a time: bucket (of ``step``) and locations.
 
-    ``g`` holds the people; ``people`` has person, location and ``time`` columns of the events.
-    continuous: runs at one location are merged, ``length`` consecutive runs within ``window`` make a sequence (all runs, if
-    there are fewer). with gaps: any ``length`` events in order within ``window``. A sequence is in every bucket of ``step`` for which it
-    fits between the bucket's begin and ``window`` later.
+    ``g`` holds the people; ``people`` has person, location and ``time`` columns of the events; equal times are ordered by location.
+    continuous: consecutive events at one location are merged into runs, and every ``length`` consecutive runs (all runs, if a person
+    has fewer) make a sequence. It is in each bucket of time in which its first run lasts, if its last run ends within ``window`` of it.
+    with gaps: each event opens a window; any ``length`` events in it, in order, make a sequence in the event's bucket.
     """
     e = people.select(F.col("person"), F.col(time).alias("t"), F.col(locations).alias("loc")).where("person is not null and t is not null and loc is not null")
     w = Window.partitionBy("person").orderBy("t", "loc")
     if algorithm == "continuous":
         moved = F.coalesce((F.lag("loc").over(w) != F.col("loc")).cast("int"), F.lit(1))
-        e = e.withColumn("_new", moved)
-        e = e.withColumn("_run", F.sum("_new").over(w)).groupBy("person", "_run", "loc").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+        e = e.withColumn("_new", moved).withColumn("_run", F.sum("_new").over(w)).groupBy("person", "_run", "loc").agg(F.min("t").alias("a"), F.max("t").alias("b"))
         over = Window.partitionBy("person").orderBy("_run")
         frame = over.rowsBetween(0, length - 1)
-        rows = e.select("person", "_run", F.collect_list("loc").over(frame).alias("locations"), F.col("b").alias("begin"), F.last("a").over(frame).alias("end"), F.count(F.lit(1)).over(Window.partitionBy("person")).alias("_n"))
+        rows = e.select("person", "_run", "a", "b", F.collect_list("loc").over(frame).alias("locations"), F.last("b").over(frame).alias("end"), F.count(F.lit(1)).over(Window.partitionBy("person")).alias("_n"))
         rows = rows.where((F.size("locations") == length) | ((F.col("_n") < length) & (F.col("_run") == 1)))
-        rows = rows.withColumn("begin", F.least("begin", "end"))
+        low, high = F.floor(F.greatest(F.col("a"), F.col("end") - window) / step), F.floor(F.col("b") / step)
+        links = rows.where(low <= high).select(F.col("person").alias("vid"), "locations", F.explode(F.sequence(low, high)).alias("bucket"))
     else:
-        rows = e.select("person", F.array("loc").alias("locations"), F.col("t").alias("begin"), F.col("t").alias("end"))
+        e = e.withColumn("k", F.row_number().over(w))
+        later = e.select("person", F.col("t").alias("_t"), F.col("loc").alias("_loc"), F.col("k").alias("_k"))
+        rows = e.select("person", F.array("loc").alias("locations"), F.col("t").alias("begin"), F.col("t").alias("end"), F.col("k").alias("first"), F.col("k").alias("last"))
         for _ in range(length - 1):
-            later = e.select("person", F.col("t").alias("_t"), F.col("loc").alias("_loc"))
-            rows = rows.join(later, "person").where((F.col("_t") > F.col("end")) & (F.col("_t") < F.col("begin") + window))
-            rows = rows.select("person", F.concat("locations", F.array("_loc")).alias("locations"), "begin", F.col("_t").alias("end"))
-    low, high = F.ceil((F.col("end") - window) / step), F.floor(F.col("begin") / step)
-    links = rows.where(low <= high).select(F.col("person").alias("vid"), "locations", F.explode(F.sequence(low, high)).alias("bucket")).distinct()
-    return _from_keys(g, name, links, ["bucket", "locations"], True)
+            rows = rows.join(later, "person").where((F.col("_k") > F.col("last")) & (F.col("_t") < F.col("begin") + window))
+            rows = rows.select("person", F.concat("locations", F.array("_loc")).alias("locations"), "begin", F.col("_t").alias("end"), "first", F.col("_k").alias("last"))
+        opened = rows.join(later, "person").where((F.col("_k") <= F.col("first")) & (F.col("end") < F.col("_t") + window))
+        links = opened.select(F.col("person").alias("vid"), "locations", F.floor(F.col("_t") / step).alias("bucket"))
+    return _from_keys(g, name, links.distinct(), ["bucket", "locations"], True)
 
 
 def combine(g: Graph, names: Sequence[str], name: str = "combination") -> Graph:

@@ -727,6 +727,16 @@ def eigenvector_and_katz_centrality(spark, d):
     return I.power_iteration(g, iterations=10, name="eigenvector").join(I.power_iteration(g, "Katz", 10, name="katz"), "id")
 
 
+@query(f"WITH {PEOPLE}, d AS (SELECT a, count(*) AS d FROM nb GROUP BY 1) SELECT v.id, coalesce((SELECT round(count(*) FILTER (y.d > x.d) / CAST(count(*) AS DOUBLE), 6) FROM nb JOIN d x ON x.a = nb.a JOIN d y ON y.a = nb.b WHERE nb.a = v.id HAVING count(*) > 0), 0) AS centrality FROM v")
+def sfigality(spark, d):
+    return I.sfigality(people(spark, d)).select("id", r("centrality", 6).alias("centrality"))
+
+
+@query()
+def k_path_centrality(spark, d):
+    return I.k_path_centrality(people(spark, d))
+
+
 @query()
 def closeness_centrality(spark, d):
     return I.closeness(trade(spark, d))
