@@ -67,7 +67,33 @@ s AS (SELECT person_id, place, arg_min(event_id, (time, event_id)) AS first_even
   min(time) AS startTime, max(time) AS endTime, count(*) AS events, max(time) - min(time) AS duration FROM b GROUP BY person_id, place, run)
 """
 )
+_STEP = "({b}.time, {b}.event_id) > ({a}.time, {a}.event_id) AND {b}.time < a.time + 21600"
+_P4 = (
+    _CLEAN
+    + """,
+n AS (SELECT count(DISTINCT person_id) AS n FROM ev),
+fp AS (SELECT a.place AS p, b.place AS q FROM ev a JOIN ev b ON a.person_id = b.person_id AND """
+    + _STEP.format(a="a", b="b")
+    + """ AND a.place <> b.place GROUP BY 1, 2 HAVING count(DISTINCT a.person_id) * 100 >= 5 * (SELECT n FROM n)),
+t2 AS (SELECT a.person_id, a.time AS t0, b.time, b.event_id, [a.place, b.place] AS ps FROM ev a JOIN ev b ON a.person_id = b.person_id AND """
+    + _STEP.format(a="a", b="b")
+    + """ JOIN fp ON a.place = p AND b.place = q)"""
+    + "".join(
+        f""",
+t{k} AS (SELECT DISTINCT a.person_id, a.t0, b.time, b.event_id, list_append(a.ps, b.place) AS ps FROM t{k - 1} a JOIN ev b ON a.person_id = b.person_id
+  AND (b.time, b.event_id) > (a.time, a.event_id) AND b.time < a.t0 + 21600 AND """
+        + " AND ".join(f"(a.ps[{i}], b.place) IN (SELECT p, q FROM fp)" for i in range(1, k))
+        + ")"
+        for k in (3, 4, 5)
+    )
+    + """,
+c AS (SELECT ps, count(DISTINCT person_id) AS persons FROM (SELECT person_id, ps FROM t3 UNION ALL SELECT person_id, ps FROM t4 UNION ALL SELECT person_id, ps FROM t5) GROUP BY 1),
+f AS (SELECT array_to_string(ps, '>') AS pattern, persons FROM c WHERE persons * 100 >= 5 * (SELECT n FROM n))
+"""
+)
 SQL = {
+    "p4_found": _P4 + "SELECT pattern FROM f",
+    "p4_patterns": _P4 + "SELECT pattern, persons FROM f",
     "p2_found": """
 WITH RECURSIVE n AS (SELECT src AS a, dst AS b FROM unordered_edge_row WHERE src IS NOT NULL AND dst IS NOT NULL
   UNION SELECT dst, src FROM unordered_edge_row WHERE src IS NOT NULL AND dst IS NOT NULL),
