@@ -65,6 +65,11 @@ def test_parse_rows(spark):
     assert csv.parse_rows(df.limit(0), "raw", COLUMNS, ["line_id"]).count() == 0
 
 
+def test_null_ids_keep_the_others_exact(spark):
+    df = spark.createDataFrame([(2**60 + 1, "x"), (None, "y")], "line_id bigint, raw string").coalesce(1)
+    assert {(r.line_id, r.parsed.a) for r in csv.parse_rows(df, "raw", [("a", "string")], ["line_id"]).collect()} == {(2**60 + 1, "x"), (None, "y")}
+
+
 @pytest.mark.parametrize("chunk", [64, 300, 1 << 20])
 def test_read_files_in_chunks(spark, tmp_path, chunk):
     """Cutting a file anywhere changes nothing."""

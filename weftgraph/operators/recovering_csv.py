@@ -19,9 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import free_name
+
 REASONS = ("quoting", "columns", "value")
 _BARE = re.compile(r'[^",]*')
 _BARE_LINE = re.compile(r'[^",\n]*')
@@ -159,25 +162,26 @@ def parse_rows(df: DataFrame, raw: str, columns: list[tuple[str, str]], keep: li
     shuffle; other columns of ``df`` are not read, so that their names cannot clash.
     """
     grammar = RecordGrammar(columns)
-    fields = ", ".join(f"`{n}` {k}" for n, k in columns)
-    kept = df.select(*keep, F.col(raw))
+    kept = df.select(*keep, F.col(raw).alias(free_name(keep, raw)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    names = [n for n, _ in columns]
+    fields = ", ".join(f"`{n}`:{k}" for n, k in columns)
+    names, last = [n for n, _ in columns], len(keep)
+    struct = pa.struct([(n, {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[k]) for n, k in columns])
 
     def run(batches):
-        for pdf in batches:
-            got = [grammar.parse_record(x if isinstance(x, str) else None) for x in pdf[raw]]
-            out = pdf
-            sound = [g if isinstance(g, list) else None for g in got]
+        for batch in batches:
+            got = [grammar.parse_record(x) for x in batch.column(last).to_pylist()]
             faults = [g if isinstance(g, Fault) else None for g in got]
-            out["parsed"] = pd.Series([dict(zip(names, s)) if s else None for s in sound], dtype=object, index=pdf.index)
-            out["reason"] = pd.Series([f.reason if f else None for f in faults], dtype=object, index=pdf.index)
-            out["fault_offset"] = pd.array([f.offset if f else None for f in faults], dtype="Int32")
-            out["fault_field"] = pd.array([f.field if f else None for f in faults], dtype="Int32")
-            out["message"] = pd.Series([f.message if f else None for f in faults], dtype=object, index=pdf.index)
-            yield out
-
-    return kept.mapInPandas(run, f"{schema}, parsed struct<{fields.replace('` ', '`:')}>, reason string, fault_offset int, fault_field int, message string")
+            added = [
+                pa.array([dict(zip(names, g)) if isinstance(g, list) else None for g in got], struct),
+                pa.array([f and f.reason for f in faults], pa.string()),
+                pa.array([f and f.offset for f in faults], pa.int32()),
+                pa.array([f and f.field for f in faults], pa.int32()),
+                pa.array([f and f.message for f in faults], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "parsed", "reason", "fault_offset", "fault_field", "message"])
+
+    return kept.mapInArrow(run, f"{schema}, parsed struct<{fields}>, reason string, fault_offset int, fault_field int, message string")
 
 
 def read_files(spark: SparkSession, path: str, columns: list[tuple[str, str]], header: bool = True, chunk_bytes: int = 32 << 20, encoding: str = "utf-8") -> DataFrame:
