@@ -260,3 +260,13 @@ def test_subjects(spark):
 
 def test_language_codes():
     assert [subjects.language_code(x) for x in ("EN", "eng", "de-XX", "fra", None, " es ")] == ["en", "en", "de", "fr", "", "es"]
+
+
+def test_null_ids_keep_the_others_exact(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "a b"), (None, "c"), (3, None)], "doc_id bigint, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "A b"), (None, "c")], "item_id bigint, text string")
+    assert {r.doc_id for r in packing.fill_containers(docs).collect()} == {big, None, 3}
+    assert {tuple(r) for r in leaks.leaks(docs, items).collect()} == {(big, 1), (None, None)}
+    model = subjects.fit(docs, spark.createDataFrame([], "doc_id bigint, subject string, annotator string"))
+    assert {r.doc_id for r in subjects.document_subjects(docs, model).collect()} == {big, None, 3}

@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,11 +101,11 @@ def leaks(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, block_chars
 
         def run(batches, shared=shared):
             search = LeakSearch(shared.value, passage)
-            for pdf in batches:
-                hits = [(d, i) for d, t in zip(pdf["doc_id"], pdf["text"]) for i in search.find(t if isinstance(t, str) else None)]
-                yield pd.DataFrame(hits, columns=["doc_id", "item_id"])
+            for batch in batches:
+                hits = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in search.find(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])
 
-        parts.append(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(doc_text).alias("text")).mapInPandas(run, "doc_id bigint, item_id bigint"))
+        parts.append(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(doc_text).alias("text")).mapInArrow(run, "doc_id bigint, item_id bigint"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

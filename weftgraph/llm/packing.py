@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +37,12 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN
 
     def run(batches):
         enc = encoder(path, pattern)
-        for pdf in batches:
-            n = [len(enc.encode_ordinary(t)) if isinstance(t, str) else 0 for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "tokens": np.array(n, np.int64)})
+        for batch in batches:
+            n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "text_hash", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, text_hash bigint, tokens bigint")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, tokens bigint")
 
 
 def pack(sizes: np.ndarray, capacity: int = CAPACITY, quadratic: float = QUADRATIC) -> tuple[np.ndarray, int]:
@@ -88,26 +88,27 @@ def fill_containers(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCAB
     shards = max(1, -(-rows_of(counted) // shard_docs))
     shard = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(shards)).cast("int")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "doc_id", "text_hash"], ascending=False, kind="stable")
-        tokens = pdf["tokens"].to_numpy()
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("tokens", "descending"), ("doc_id", "ascending"), ("text_hash", "ascending")])
+        shard = table.column("shard")[0].as_py()
+        tokens = table.column("tokens").to_numpy()
         rest = tokens % capacity
         rest[(rest == 0) & (tokens > 0)] = capacity
         whole = (tokens - rest) // capacity
         into, count = pack(rest, capacity, quadratic)
-        at = np.repeat(np.arange(len(pdf)), whole)
+        at = np.repeat(np.arange(len(tokens)), whole)
         begin = np.cumsum(whole) - whole
-        out = pd.DataFrame({
-            "doc_id": np.concatenate([pdf["doc_id"].to_numpy()[at], pdf["doc_id"].to_numpy()]),
-            "part": np.concatenate([np.arange(len(at)) - begin[at], whole]).astype(np.int32),
-            "container": np.concatenate([count + np.arange(len(at)), into]),
-            "tokens": np.concatenate([np.full(len(at), capacity), rest]),
-            "doc_tokens": np.concatenate([tokens[at], tokens]),
+        row = np.concatenate([at, np.arange(len(tokens))])
+        container = np.concatenate([count + np.arange(len(at)), into])
+        return pa.table({
+            "doc_id": table.column("doc_id").take(pa.array(row)),
+            "part": pa.array(np.concatenate([np.arange(len(at)) - begin[at], whole]), pa.int32()),
+            "container": pa.array([f"{shard}-{c}" for c in container]),
+            "tokens": pa.array(np.concatenate([np.full(len(at), capacity), rest]), pa.int64()),
+            "doc_tokens": pa.array(tokens[row], pa.int64()),
         })
-        out["container"] = [f"{key[0]}-{c}" for c in out["container"]]
-        return out
 
-    return counted.withColumn("shard", shard).groupBy("shard").applyInPandas(run, "doc_id bigint, part int, container string, tokens bigint, doc_tokens bigint")
+    return counted.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "doc_id bigint, part int, container string, tokens bigint, doc_tokens bigint")
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

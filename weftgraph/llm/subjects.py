@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -290,17 +291,18 @@ def document_subjects(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for pdf in batches:
-            owner, evidence = m.evidence([t if isinstance(t, str) else None for t in pdf["text"]])
-            best = _best(owner, evidence, len(pdf))
+        for batch in batches:
+            owner, evidence = m.evidence(batch.column(1).to_pylist())
+            best = _best(owner, evidence, batch.num_rows)
             said = best >= m.accept
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"],
-                "subjects": [[SUBJECTS[i] for i in np.flatnonzero(r)] for r in said],
-                "evidence": [[float(x) for x in b[r]] for b, r in zip(best, said)],
-            })
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, subjects array<string>, evidence array<double>")
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0),
+                pa.array([[SUBJECTS[i] for i in np.flatnonzero(r)] for r in said], pa.list_(pa.string())),
+                pa.array([b[r].tolist() for b, r in zip(best, said)], pa.list_(pa.float64())),
+            ], names=["doc_id", "subjects", "evidence"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return texts.mapInArrow(run, "doc_id bigint, subjects array<string>, evidence array<double>")
 
 
 def composition(found: DataFrame) -> DataFrame:
