@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,9 @@ SHARD_DOCS = 50_000
 QUADRATIC = 1 / 2_048
 
 
+@lru_cache(maxsize=4)
 def encoder(path: str = VOCABULARY, pattern: str = PATTERN):
-    """The tokenizer of a vocabulary of ranks."""
+    """The tokenizer of a vocabulary of ranks; a Python worker builds it once for all its tasks."""
     import base64
 
     import tiktoken
