@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import heavy_keys, spill, split_join, whole_number
+from ..runtime import spill, split_join, whole_number
 
 RANGE_BITS = 32_768
 #: Keys that a dictionary bucket is laid out for; one with more simply has several ranges.
