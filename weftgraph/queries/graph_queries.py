@@ -234,7 +234,13 @@ def combine_segmentations(spark, d):
     return g.segmentation("c").graph.vertices.select("a_p_brand", "b_p_size", "size")
 
 
-@query()
+@query("""WITH x AS (SELECT user_id AS p, epoch(date_trunc('second', ts)) AS t, event_type AS l FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL),
+n AS (SELECT *, CASE WHEN lag(l) OVER w = l THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY p ORDER BY t, l)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY p ORDER BY t, l ROWS UNBOUNDED PRECEDING) AS run FROM n),
+r AS (SELECT p, run, l, min(t) AS a, max(t) AS b, count(*) OVER (PARTITION BY p) AS k FROM g GROUP BY 1, 2, 3),
+q AS (SELECT c.p, [c.l, d.l] AS locations, greatest(c.a, d.b - 604800) AS lo, c.b AS hi FROM r c JOIN r d ON c.p = d.p AND d.run = c.run + 1 UNION ALL SELECT p, [l], greatest(a, b - 604800), b FROM r WHERE k = 1),
+u AS (SELECT DISTINCT p, locations, unnest(generate_series(CAST(floor(lo / 86400) AS BIGINT), CAST(floor(hi / 86400) AS BIGINT))) AS bucket FROM q)
+SELECT locations, CAST(count(*) AS DOUBLE) AS people FROM u GROUP BY 1""")
 def segment_by_event_sequence(spark, d):
     ev = table(spark, d, "events").select(F.col("user_id").alias("person"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("t"), F.col("event_type").alias("loc"))
     g = Graph(ev.select(F.col("person").alias("id")).distinct())
