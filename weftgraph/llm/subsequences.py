@@ -29,16 +29,19 @@ def sequences(events: DataFrame, window: float, hot: list[int]) -> DataFrame:
     """
     length = window * BLOCK_WINDOWS
     block = F.floor(F.col("time") / length)
-    offset = F.col("time") - block * length
-    rows = events.select("person_id", "time", "event_id", "place", F.explode(F.when(offset < window, F.array(block, block - 1)).otherwise(F.array(block))).alias("block"), block.alias("_home"))
-    is_hot = F.col("person_id").isin(hot) if hot else F.lit(False)
-    rows = rows.withColumn("salt", F.when(is_hot, F.col("block")).otherwise(F.lit(0).cast("bigint")))
-    rows = rows.repartition(shuffle_width(events.sparkSession), "person_id", "salt")
+    blocks = F.when(F.col("time") - block * length < window, F.array(block, block - 1)).otherwise(F.array(block))
+    rows, keys, salted = events.select("person_id", "time", "event_id", "place"), ["person_id"], F.lit(False)
+    if hot:
+        rows = rows.select("*", F.explode(F.when(F.col("person_id").isin(hot), blocks).otherwise(F.array(F.lit(None).cast("bigint")))).alias("salt"))
+        keys, salted = ["person_id", "salt"], F.col("salt").isNotNull()
+    rows = rows.repartition(shuffle_width(events.sparkSession), *keys)
+    # blocks are laid out after the shuffle, so that what they repeat is not shuffled, but for hot persons
+    rows = rows.select("*", block.alias("_home"), F.explode(F.when(salted, F.array("salt")).otherwise(blocks) if hot else blocks).alias("block"))
     steps = F.sort_array(F.collect_list(F.struct("time", "event_id", "place")))
     own = F.sum((F.col("block") == F.col("_home")).cast("int"))
-    lists = rows.groupBy("person_id", "salt", "block").agg(steps.alias("steps"), own.alias("own")).where("own > 0")
+    lists = rows.groupBy(*keys, "block").agg(steps.alias("steps"), own.alias("own")).where("own > 0")
     return lists.select(
-        F.col("person_id").alias("person"), is_hot.alias("hot"), F.count(F.lit(1)).over(Window.partitionBy("person_id", "salt")).cast("int").alias("rows"),
+        F.col("person_id").alias("person"), salted.alias("hot"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int").alias("rows"),
         F.col("own").cast("int").alias("own"), F.col("steps.time").alias("times"), F.col("steps.place").alias("items"),
     )
 
