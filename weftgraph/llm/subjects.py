@@ -102,7 +102,10 @@ class Model:
 
         The evidence is the number of words times the difference of the cross-entropies per word, background less subject.
         """
-        owner, ids, begin, before = encode(texts, self.languages)
+        return self.evidence_of(*encode(texts, self.languages))
+
+    def evidence_of(self, owner: np.ndarray, ids: np.ndarray, begin: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`evidence` of encoded sentences."""
         if not len(owner):
             return owner, np.zeros((0, len(SUBJECTS)))
         value = self.single[ids]
@@ -156,7 +159,7 @@ def _count(batches, languages: Languages, model: Model | None, free: bool):
         labels = [[SUBJECTS.index(s) for s in x if s in SUBJECTS] for x in pdf["subjects"]]
         owner, ids, begin, before = encode(list(pdf["text"]), languages)
         share = np.zeros((len(owner), n + 1))
-        evidence = model.evidence(list(pdf["text"]))[1] if model else None
+        evidence = model.evidence_of(owner, ids, begin, before)[1] if model else None
         for i, k in enumerate(owner):
             if evidence is None:
                 share[i, labels[k] or [n]] = 1 / max(1, len(labels[k]))
