@@ -140,7 +140,7 @@ def steiner_tree(g: Graph, edge_cost: str, root_cost: str, gain: str, arc: str =
 
 
 def forest_fire_scores(g: Graph, spread: float = 0.99, burn_ratio: float = 10.0, seed: int = 0, name: str = "forest_fire_score") -> DataFrame:
-    """eid and how often fires burn over an edge, over the most for any. Fires start at random vertices, all of a round at once, until
+    """eid and how often fires burn over an edge, over the most for any. Each round a fire starts at every vertex, all at once, until
     ``burn_ratio`` times the edges have burned; each burning vertex lights a geometric number of unburned neighbours."""
     from .attributes import uniform
 
@@ -148,7 +148,7 @@ def forest_fire_scores(g: Graph, spread: float = 0.99, burn_ratio: float = 10.0,
     step = spill(e.select("eid", F.inline(F.array(F.struct(F.col("src").alias("at"), F.col("dst").alias("to")), F.struct(F.col("dst").alias("at"), F.col("src").alias("to"))))))
     goal, burned, counts, r = burn_ratio * e.count(), 0, None, 0
     while burned < goal and r < 50:
-        fires = spill(g.vertices.select("id").withColumn("fire", F.xxhash64("id", F.lit(seed * 1000 + r))).where(uniform("fire", 1) < 0.1).select("fire", F.col("id").alias("at")))
+        fires = spill(g.vertices.select("id").withColumn("fire", F.xxhash64("id", F.lit(seed * 1000 + r))).select("fire", F.col("id").alias("at")))
         front, seen = fires, fires
         for d in range(20):
             draw = F.xxhash64("fire", "at", "to", F.lit(d))
