@@ -714,7 +714,7 @@ def lin_and_average_distance(spark, d):
 
 @query()
 def harmonic_centrality_sketched(spark, d):
-    return I.centrality(people(spark, d), "Harmonic", most=4).select("id", "centrality")
+    return I.centrality(people(spark, d), "Harmonic").select("id", "centrality")
 
 
 @query(f"WITH {PEOPLE}, o AS (SELECT src, count(*) AS d FROM e GROUP BY 1), k AS (SELECT e.src, sum(coalesce(o.d, 0)) AS k FROM e LEFT JOIN o ON o.src = e.dst GROUP BY 1) SELECT v.id, CAST(coalesce(d, 0) * coalesce(d, 0) + coalesce(d, 0) + 2 * coalesce(k, 0) AS DOUBLE) AS centrality FROM v LEFT JOIN o ON o.src = v.id LEFT JOIN k ON k.src = v.id")
