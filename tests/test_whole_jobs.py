@@ -1,5 +1,6 @@
 """Registered queries over small tables of their own: that they do the whole job, not a part of it."""
 
+import heapq
 import random
 from collections import deque
 
@@ -46,3 +47,29 @@ def test_sketched_harmonic_centrality_counts_ten_hops(spark, people_dir):
     for v in range(30):
         want = sum(1 / x for x in hops(30, edges, v).values() if 0 < x <= 10)
         assert got[v] == pytest.approx(want, rel=0.02), v
+
+
+def dijkstra(n, edges, starts):
+    out = {i: [] for i in range(n)}
+    for k, a, b in edges:
+        out[a].append((b, k % 7 + 1.0))
+    d, todo = {}, [(0.0, s) for s in starts]
+    while todo:
+        x, at = heapq.heappop(todo)
+        if at not in d:
+            d[at] = x
+            for to, w in out[at]:
+                heapq.heappush(todo, (x + w, to))
+    return d
+
+
+def test_shortest_paths_of_any_number_of_edges(spark, people_dir):
+    rng = random.Random(5)
+    edges = [(7 * i, i, i + 1) for i in range(25)]
+    edges += [(7 * i + 6, rng.randrange(60), rng.randrange(60)) for i in range(60)]
+    d = people_dir(60, edges)
+    got = {r.id: r.distance for r in Q.shortest_path_to_fixpoint(spark, d).collect()}
+    want = dijkstra(60, edges, [0, 50])
+    assert got == want and max(want.values()) > 10
+    few = {r.id: r.distance for r in Q.shortest_path(spark, d).collect()}
+    assert few != want

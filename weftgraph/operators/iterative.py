@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,15 +12,15 @@ from ..runtime import BROADCAST_ROWS, drop, heavy_keys, rows_of, spill, split_jo
 from .direction import both_ways, neighbours, pairs
 
 
-def shortest_path(g: Graph, start: str, length: str | None = None, iterations: int = 10, name: str = "distance") -> DataFrame:
+def shortest_path(g: Graph, start: str, length: str | None = None, iterations: int | None = 10, name: str = "distance") -> DataFrame:
     """id and least distance from any vertex whose ``start`` is defined (and counts), over at most ``iterations`` edges.
 
-    Unreachable vertices are absent. Only vertices that came nearer in a round relax their edges in the next.
+    With None it goes on until no vertex comes nearer, which needs lengths without negative cycles. Unreachable vertices are absent. Only vertices that came nearer in a round relax their edges in the next.
     """
     e = g.need_edges().select("src", F.col("dst"), (F.col(length) if length else F.lit(1.0)).alias("w"))
     e = e.where("w is not null").groupBy("src", "dst").agg(F.min("w").alias("w"))
     best = spill(g.vertices.where(F.col(start).isNotNull()).select("id", F.col(start).cast("double").alias("d")).groupBy("id").agg(F.min("d").alias("d")).withColumn("new", F.lit(True)))
-    for _ in range(iterations):
+    for _ in count() if iterations is None else range(iterations):
         moved = best.where("new").select(F.col("id").alias("src"), "d").join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("d") + F.col("w")).alias("n"))
         after = best.drop("new").join(moved, "id", "full").select("id", F.least("d", "n").alias("d"), F.coalesce(F.col("n") < F.col("d"), F.col("d").isNull()).alias("new"))
         after = spill(after)
