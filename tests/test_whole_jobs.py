@@ -2,11 +2,13 @@
 
 import heapq
 import random
-from collections import deque
+from collections import Counter, deque
 
 import pytest
 
+from weftgraph.operators import key_stats
 from weftgraph.queries import graph_queries as Q
+from weftgraph.queries import pipeline_queries as P
 
 
 @pytest.fixture
@@ -73,3 +75,21 @@ def test_shortest_paths_of_any_number_of_edges(spark, people_dir):
     assert got == want and max(want.values()) > 10
     few = {r.id: r.distance for r in Q.shortest_path(spark, d).collect()}
     assert few != want
+
+
+def test_p3_found_counts_every_key(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, str(1 if i % 3 else rng.randrange(500)), str(2 if i % 5 else rng.randrange(500)) if i % 11 else None) for i in range(3000)]
+    spark.createDataFrame(rows, "edge_id bigint, src string, dst string").write.parquet(f"{tmp_path}/fingerprint_100_edges.parquet")
+    seen = []
+    whole = key_stats.endpoint_stats
+    monkeypatch.setattr(key_stats, "endpoint_stats", lambda *a: seen.append(whole(*a)) or seen[-1])
+    got = {(r.endpoint, r.vertex_key) for r in P.p3_found(spark, str(tmp_path)).collect()}
+    n = Counter()
+    for _, s, t in rows:
+        n["src", int(s)] += 1
+        if t is not None:
+            n["dst", int(t)] += 1
+    totals = {e: sum(x for (f, _), x in n.items() if f == e) for e in ("src", "dst")}
+    assert got == {k for k, x in n.items() if x * 100 >= 3 * totals[k[0]]}
+    assert len(seen) == 1 and {(r.endpoint, r.vertex_key): r.edges for r in seen[0].collect()} == n

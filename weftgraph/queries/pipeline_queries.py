@@ -31,7 +31,9 @@ def p1_reasons(spark, d):
 
 def p3_found(spark, d):
     edges = key_stats.prepared(table(spark, d, "fingerprint_100_edges"))
-    return key_stats.heavy_vertices(edges).select("endpoint", "vertex_key")
+    stats = spill(key_stats.endpoint_stats(edges))
+    totals = stats.groupBy("endpoint").agg(F.sum("edges").alias("total"))
+    return stats.join(F.broadcast(totals), "endpoint").where(F.col("edges") * 100 >= 3 * F.col("total")).select("endpoint", "vertex_key")
 
 
 def p3_vertex_counts(spark, d):
