@@ -6,7 +6,7 @@ from collections import Counter, deque
 
 import pytest
 
-from weftgraph.operators import key_stats
+from weftgraph.operators import key_stats, matching
 from weftgraph.queries import graph_queries as Q
 from weftgraph.queries import pipeline_queries as P
 
@@ -93,3 +93,32 @@ def test_p3_found_counts_every_key(spark, tmp_path, monkeypatch):
     totals = {e: sum(x for (f, _), x in n.items() if f == e) for e in ("src", "dst")}
     assert got == {k for k, x in n.items() if x * 100 >= 3 * totals[k[0]]}
     assert len(seen) == 1 and {(r.endpoint, r.vertex_key): r.edges for r in seen[0].collect()} == n
+
+
+def test_fires_burn_on_until_the_goal(adjacency, monkeypatch):
+    """On a path of 60 vertices the goal is met, however many steps and batches of fires that takes."""
+    g = adjacency({i: [i + 1] if i < 59 else [] for i in range(60)})
+    counted = []
+    whole = matching.rows_of
+    monkeypatch.setattr(matching, "rows_of", lambda df: counted.append((df.columns, whole(df))) or counted[-1][1])
+    f = matching.forest_fire_scores(g, 0.99, 3.0, seed=1)
+    assert sum(n for c, n in counted if c == ["fire", "eid", "at"]) >= 3 * 59
+    assert f.count() == 59 and f.agg({"forest_fire_score": "max"}).first()[0] == 1.0
+    assert {r[1] for r in matching.forest_fire_scores(g, 0.0, 3.0).collect()} == {0.0}
+
+
+def test_fires_come_in_bounded_batches(adjacency, monkeypatch):
+    monkeypatch.setattr(matching, "FIRE_ROWS", 40, raising=False)
+    sizes = []
+    spill = matching.spill
+
+    def watched(df):
+        out = spill(df)
+        if out.columns[:1] == ["fire"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(matching, "spill", watched)
+    g = adjacency({i: [(i + 1) % 30, (i + 7) % 30] for i in range(30)})
+    assert matching.forest_fire_scores(g, 0.99, 2.0, seed=1).count() == 60
+    assert 0 < max(sizes) <= 120

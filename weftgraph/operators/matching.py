@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..runtime import spill
+from ..runtime import drop, rows_of, spill
 from .direction import neighbours
 
+#: Edges that the fires of one batch burn at about.
+FIRE_ROWS = 2_000_000
+
 
 def similarities(left: DataFrame, right: DataFrame, candidates: DataFrame, least_overlap: int = 1, least_similarity: float = 0.5, extra_weight: float = 0.0) -> DataFrame:
     """Similarity of candidate pairs by what they are linked to: left, right, similarity, overlap.
@@ -139,37 +142,56 @@ def steiner_tree(g: Graph, edge_cost: str, root_cost: str, gain: str, arc: str =
     return g.with_vertex_values(nodes).with_edge_values(edges).with_scalars(**{profit: total})
 
 
+def _together(written: list[DataFrame]) -> DataFrame:
+    """Tables of one schema written by ``spill``, as one scan."""
+    return written[0].sparkSession.read.schema(written[0].schema).parquet(*(x._weft_path for x in written))
+
+
 def forest_fire_scores(g: Graph, spread: float = 0.99, burn_ratio: float = 10.0, seed: int = 0, name: str = "forest_fire_score") -> DataFrame:
-    """eid and how often fires burn over an edge, over the most for any. Each round a fire starts at every vertex, all at once, until
-    ``burn_ratio`` times the edges have burned; each burning vertex lights a geometric number of unburned neighbours."""
+    """eid and how often fires burn over an edge, over the most for any. Fires start at random vertices with neighbours, in batches, until
+    ``burn_ratio`` times the edges have burned; each burning vertex lights a geometric number of unburned neighbours.
+
+    A fire burns until it dies out. A batch has as many fires as the rest of the goal needs at the edges burned a fire so far, but at most
+    twice those before it, and no more than reach ``FIRE_ROWS`` vertices if each is like the largest so far (one fire at least). Without edges between different vertices, or at spread 0, nothing burns.
+    """
     from .attributes import uniform
 
     e = spill(g.need_edges().select("eid", "src", "dst"))
-    step = spill(e.select("eid", F.inline(F.array(F.struct(F.col("src").alias("at"), F.col("dst").alias("to")), F.struct(F.col("dst").alias("at"), F.col("src").alias("to"))))))
-    goal, burned, counts, r = burn_ratio * e.count(), 0, None, 0
-    while burned < goal and r < 50:
-        fires = spill(g.vertices.select("id").withColumn("fire", F.xxhash64("id", F.lit(seed * 1000 + r))).select("fire", F.col("id").alias("at")))
-        front, seen = fires, fires
-        for d in range(20):
+    step = spill(e.select("eid", F.inline(F.array(F.struct(F.col("src").alias("at"), F.col("dst").alias("to")), F.struct(F.col("dst").alias("at"), F.col("src").alias("to"))))).where("at <> to"))
+    starts = spill(step.select("at").distinct())
+    n = rows_of(starts)
+    goal, burned, fired, largest, counts, r = burn_ratio * rows_of(e), 0, 0, n, None, 0
+    while n and spread > 0 and burned < goal:
+        each = max(1.0, burned / fired) if fired else n  # the first batch counts on all vertices burning
+        batch = int(max(1, min(n, -(-(goal - burned) // each), FIRE_ROWS // largest, 2 * fired or n)))
+        fires = starts.select("at", F.xxhash64("at", F.lit(seed), F.lit(r)).alias("fire"))
+        fires = fires.orderBy("fire", "at").limit(batch) if batch <= 1000 else fires.where(uniform("fire", 3) < batch / n)
+        front = spill(fires.select("fire", F.lit(None).cast("bigint").alias("eid"), "at"))
+        largest = largest if fired else 1
+        fired += rows_of(front)
+        d, levels = 0, [front]
+        while True:
+            seen = _together(levels)
             draw = F.xxhash64("fire", "at", "to", F.lit(d))
             order = F.row_number().over(Window.partitionBy("fire", "at").orderBy(draw))
             much = F.floor(F.log(uniform(F.xxhash64("fire", "at", F.lit(d)), 2)) / F.log(F.lit(min(max(spread * 0.7, 1e-6), 1 - 1e-6))))
-            lit = front.join(step, "at").join(seen.select("fire", F.col("at").alias("to")), ["fire", "to"], "left_anti")
-            lit = spill(lit.withColumn("_o", order).where(F.col("_o") <= much).select("fire", "eid", F.col("to").alias("at")))
-            n = lit.count()
-            if not n:
+            lit = front.select("fire", "at").distinct().join(step, "at").join(seen.select("fire", F.col("at").alias("to")), ["fire", "to"], "left_anti")
+            front = spill(lit.withColumn("_o", order).where(F.col("_o") <= much).select("fire", "eid", F.col("to").alias("at")))
+            levels.append(front)
+            if not rows_of(front):
                 break
-            burned += n
-            each = lit.groupBy("eid").agg(F.count(F.lit(1)).alias("n"))
-            counts = each if counts is None else counts.unionByName(each)
-            front = lit.select("fire", "at").distinct()
-            seen = spill(seen.unionByName(front))
-        r += 1
-    if counts is None:
+            burned, d = burned + rows_of(front), d + 1
+        seen = _together(levels)
+        largest = max(largest, seen.groupBy("fire").count().agg(F.max("count")).first()[0] or 1)
+        each = seen.where("eid is not null").groupBy("eid").agg(F.count(F.lit(1)).alias("n"))
+        after = spill(each if counts is None else each.unionByName(counts).groupBy("eid").agg(F.sum("n").alias("n")))
+        for x in [*levels, counts]:
+            drop(x)
+        counts, r = after, r + 1
+    if not burned:
         return e.select("eid", F.lit(0.0).alias(name))
-    per = spill(counts.groupBy("eid").agg(F.sum("n").alias("n")))
-    top = per.agg(F.max("n")).first()[0]
-    return e.select("eid").join(per, "eid", "left").select("eid", (F.coalesce("n", F.lit(0)) / top).alias(name))
+    top = counts.agg(F.max("n")).first()[0]
+    return e.select("eid").join(counts, "eid", "left").select("eid", (F.coalesce("n", F.lit(0)) / top).alias(name))
 
 
 def pivot_layout(g: Graph, dimensions: int = 2, pivots: int = 100, name: str = "position") -> DataFrame:

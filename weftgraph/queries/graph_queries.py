@@ -819,7 +819,7 @@ def fingerprint_attributes(spark, d):
 
 @query()
 def forest_fire_scores(spark, d):
-    return X.forest_fire_scores(trade(spark, d), 0.8, 2.0, 1)
+    return X.forest_fire_scores(people(spark, d), seed=1)
 
 
 @query()
