@@ -6,7 +6,7 @@ from collections import Counter, deque
 
 import pytest
 
-from weftgraph.operators import key_stats, matching
+from weftgraph.operators import iterative, key_stats, matching
 from weftgraph.queries import graph_queries as Q
 from weftgraph.queries import pipeline_queries as P
 
@@ -122,3 +122,11 @@ def test_fires_come_in_bounded_batches(adjacency, monkeypatch):
     g = adjacency({i: [(i + 1) % 30, (i + 7) % 30] for i in range(30)})
     assert matching.forest_fire_scores(g, 0.99, 2.0, seed=1).count() == 60
     assert 0 < max(sizes) <= 120
+
+
+def test_coloring_leaves_no_vertex_out(spark, people_dir, monkeypatch):
+    d = people_dir(3, [(0, 0, 1), (1, 1, 2)])
+    assert Q.vertex_coloring(spark, d).first().clashes == 0
+    whole = iterative.coloring
+    monkeypatch.setattr(iterative, "coloring", lambda g: whole(g).where("id <> 1"))
+    assert Q.vertex_coloring(spark, d).first().clashes == 1

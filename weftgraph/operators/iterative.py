@@ -330,9 +330,9 @@ def spanning_tree(g: Graph, weight: str | None = None, optimize: str = "Minimal
     return out.distinct().withColumn(name, F.lit(1.0))
 
 
-def coloring(g: Graph, name: str = "color", rounds: int = 1000) -> DataFrame:
+def coloring(g: Graph, name: str = "color") -> DataFrame:
     """id and a proper colour from 1.0: in each round the uncoloured vertices that come first around them, by
-    (degree, hash), take the least colour their neighbours do not have."""
+    (degree, hash), take the least colour their neighbours do not have. Each round colours at least one, until all have a colour."""
     links = neighbours(g.need_edges()).withColumnsRenamed({"center": "v", "other": "u"})
     deg = links.groupBy("v").agg(F.count(F.lit(1)).alias("d"))
     order = F.struct(F.col("d"), F.xxhash64("v"), F.col("v"))
@@ -340,9 +340,7 @@ def coloring(g: Graph, name: str = "color", rounds: int = 1000) -> DataFrame:
     links = spill(links.join(keyed, "v").join(keyed.withColumnsRenamed({"v": "u", "k": "ku"}), "u").select("v", "u", (F.col("ku") > F.col("k")).alias("before")))
     done = spill(g.vertices.select(F.col("id").alias("v")).join(deg, "v", "left_anti").select("v", F.lit(1).alias("c")))
     left = spill(deg.select("v"))
-    for _ in range(rounds):
-        if not left.limit(1).count():
-            break
+    while left.limit(1).count():
         open_ = links.where("before").join(left.withColumnRenamed("v", "u"), "u", "left_semi").select("v").distinct()
         ready = left.join(open_, "v", "left_anti")
         used = links.join(ready, "v", "left_semi").join(done.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.array_sort(F.collect_set("c")).alias("used"))

@@ -776,7 +776,9 @@ def vertex_coloring(spark, d):
     g = people(spark, d)
     c = I.coloring(g)
     e = g.edges.where("src <> dst").join(c.withColumnsRenamed({"id": "src", "color": "a"}), "src").join(c.withColumnsRenamed({"id": "dst", "color": "b"}), "dst")
-    return e.agg(F.count_if(F.col("a") == F.col("b")).cast("int").alias("clashes"))
+    # a vertex without a colour counts as a clash
+    bare = g.vertices.join(c.where("color is not null"), "id", "left_anti").select(F.lit(1.0).alias("a"), F.lit(1.0).alias("b"))
+    return e.select("a", "b").unionByName(bare).agg(F.count_if(F.col("a") == F.col("b")).cast("int").alias("clashes"))
 
 
 @query(f"WITH {PEOPLE}, {_TRI} SELECT a AS vid, count(*) AS n FROM (SELECT a FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY 1")
