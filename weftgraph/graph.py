@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .runtime import BROADCAST_ROWS, drop, rows_of, spill, split_join
+
 EDGE_KEYS = ("eid", "src", "dst")
 
 
@@ -87,9 +89,55 @@ class Segmentation:
     membership: DataFrame
 
 
-def hashed_id(*cols: str):
-    """A reproducible 64-bit id of columns, for elements that have no natural integer key.
+def hashed_id(*cols):
+    """A reproducible 64-bit hash of columns.
 
-    A plain hash: with n elements two clash with probability n*n / 2**65 (one in four million at a billion).
+    With n elements two clash with probability n*n / 2**65: 3 % at a billion, near certainty at ten billion. It is the id of edges that
+    operators make; ids of vertices and segments go through :func:`clash_free`.
     """
     return F.xxhash64(*cols)
+
+
+def clash_free(keys: DataFrame, cols: Sequence[str], taken: DataFrame | None = None) -> DataFrame | None:
+    """Exact ids by hash: of distinct ``keys`` (best a written table) those whose :func:`hashed_id` another key or an ``id`` of ``taken`` has too, with an ``_id``
+    of their own that none has. Of clashing keys the least keeps its hash. None if all hashes differ, as nearly always below a billion keys."""
+    cols = list(cols)
+    hashed = keys.select(*cols, hashed_id(*cols).alias("_id"))
+    twice = hashed.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
+    found = hashed.join(twice, "_id", "left_semi").select("*", F.row_number().over(Window.partitionBy("_id").orderBy(*cols)).alias("_k")).where("_k > 1").select(*cols)
+    known = hashed.select("_id")
+    if taken is not None:
+        found = found.unionByName(hashed.join(taken.select(F.col("id").alias("_id")), "_id", "left_semi").select(*cols)).distinct()
+        known = known.unionByName(taken.select(F.col("id").alias("_id")))
+    found = spill(found)
+    if not rows_of(found):
+        drop(found)
+        return None
+    out, left, k = None, found, 0
+    while rows_of(left):
+        k += 1
+        tried = left.select(*cols, F.xxhash64(*cols, F.lit(k)).alias("_id"))
+        used = known if out is None else known.unionByName(out.select("_id"))
+        fresh = split_join(tried, used.join(tried.select("_id").distinct(), "_id", "left_semi").distinct(), ["_id"], "left_anti")
+        first = F.row_number().over(Window.partitionBy("_id").orderBy(*cols)) == 1
+        good = spill(fresh.select("*", first.alias("_first")).where("_first").drop("_first"))
+        out = good if out is None else spill(out.unionByName(good))
+        left = spill(_same_keys(left, good, cols, "left_anti"))
+    return out
+
+
+def _same_keys(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str) -> DataFrame:
+    renamed = right.withColumnsRenamed({c: f"_same_{c}" for c in cols})
+    on = None
+    for c in cols:
+        same = left[c].eqNullSafe(renamed[f"_same_{c}"])
+        on = same if on is None else on & same
+    return left.join(renamed, on, how)
+
+
+def with_id(df: DataFrame, cols: Sequence[str], exceptions: DataFrame | None, name: str = "id") -> DataFrame:
+    """``df`` with the id of its key ``cols``: the hash, or what :func:`clash_free` gave to the exceptions."""
+    if exceptions is None:
+        return df.withColumn(name, hashed_id(*cols))
+    joined = _same_keys(df, F.broadcast(exceptions) if rows_of(exceptions) <= BROADCAST_ROWS else exceptions, cols, "left")
+    return joined.withColumn(name, F.coalesce("_id", hashed_id(*cols))).drop("_id", *(f"_same_{c}" for c in cols))

@@ -257,17 +257,15 @@ def aggregate_globally(g: Graph, on: str, specs: Specs, weight: str | None = Non
 
 
 def aggregate_on_neighbours(g: Graph, direction: str, specs: Specs, weight: str | None = None, prefix: str = "neighborhood", suffix: bool = True) -> DataFrame:
-    """id and aggregates of the neighbours' attributes, reached in the direction; vertices without neighbours are absent."""
-    from .direction import both_ways, pairs
+    """id and aggregates of the neighbours' attributes, reached in the direction; vertices without neighbours are absent.
+
+    ``weight`` is an attribute of the neighbours, or else of the edges that lead to them.
+    """
+    from .direction import pairs
 
     names = sorted({a for a, _ in specs})
-    if weight and weight in g.edge_attributes and weight not in g.vertex_attributes:
-        e = g.need_edges()
-        ways = {"incoming edges": ("dst", "src"), "outgoing edges": ("src", "dst")}
-        linked = e.select(F.col(ways[direction][0]).alias("center"), F.col(ways[direction][1]).alias("other"), weight) if direction in ways else both_ways(e, weight)
-        extra = []
-    else:
-        linked, extra = pairs(g.need_edges(), direction), [weight] if weight else []
+    on_edges = bool(weight) and weight not in g.vertex_attributes
+    linked, extra = pairs(g.need_edges(), direction, weight if on_edges else None), [weight] if weight and not on_edges else []
     values = g.vertices.select(F.col("id").alias("other"), *sorted({*names, *extra}))
     return aggregate(linked.join(values, "other").drop("other"), ["center"], specs, weight, prefix, suffix).withColumnRenamed("center", "id")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import predicate
-from ..graph import Graph, hashed_id
+from ..graph import Graph, clash_free, hashed_id, with_id
 from ..runtime import spill
 from .attributes import uniform
 
@@ -23,13 +23,16 @@ def use_table_as_vertices(df: DataFrame, key: str | None = None) -> Graph:
 def use_table_as_graph(df: DataFrame, src: str, dst: str) -> Graph:
     """One edge a row; vertices are the distinct ends as text (``stringId``). Rows without both ends are dropped.
 
-    Ids are hashes of the text, so that edges need no join.
+    Ids are hashes of the text, so that edges need no join; texts whose hashes clash get ids of their own by :func:`clash_free`.
     """
-    rows = df.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
-    ends = rows.select(F.explode(F.array(F.col(src).cast("string"), F.col(dst).cast("string"))).alias("stringId")).distinct()
+    rows = df.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(*(F.col(c).alias(f"edge_{c}" if c in ("eid", "src", "dst") else c) for c in df.columns), F.col(src).cast("string").alias("_src"), F.col(dst).cast("string").alias("_dst"))
     edges = spill(rows.withColumn("eid", F.monotonically_increasing_id()))
-    edges = edges.select("eid", hashed_id(F.col(src).cast("string")).alias("src"), hashed_id(F.col(dst).cast("string")).alias("dst"), *(F.col(c).alias(f"edge_{c}" if c in ("eid", "src", "dst") else c) for c in df.columns))
-    return Graph(ends.withColumn("id", hashed_id("stringId")), edges)
+    ends = spill(edges.select(F.explode(F.array("_src", "_dst")).alias("stringId")).distinct())
+    clashes = clash_free(ends, ["stringId"])
+    for end in ("src", "dst"):
+        named = clashes if clashes is None else spill(clashes.withColumnRenamed("stringId", f"_{end}"))
+        edges = with_id(edges, [f"_{end}"], named, end).drop(f"_{end}")
+    return Graph(with_id(ends, ["stringId"], clashes).select("stringId", "id"), edges.select("eid", "src", "dst", *(c for c in rows.columns if c not in ("_src", "_dst"))))
 
 
 def use_table_as_edges(g: Graph, df: DataFrame, attr: str, src: str, dst: str, eid: str | None = None) -> Graph:

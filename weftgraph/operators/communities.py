@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, Segmentation, hashed_id
+from ..graph import Graph, Segmentation, clash_free, with_id
 from ..runtime import spill
 from . import iterative, metrics
 from .direction import both_ways
@@ -19,7 +19,8 @@ def find_connected_components(g: Graph, directions: str = "ignore directions", n
 
 def find_triangles(g: Graph, both_directions: bool = False, name: str = "triangles") -> Graph:
     """A segment for each triangle."""
-    t = metrics.triangles(g.need_edges(), both_directions).withColumn("sid", hashed_id("a", "b", "c"))
+    t = spill(metrics.triangles(g.need_edges(), both_directions))
+    t = with_id(t, ["a", "b", "c"], clash_free(t, ["a", "b", "c"]), "sid")
     return g.with_segmentation(name, Segmentation(Graph(t.select(F.col("sid").alias("id"))), t.select(F.explode(F.array("a", "b", "c")).alias("vid"), "sid")))
 
 
@@ -72,7 +73,8 @@ def maximal_cliques(edges: DataFrame, both_directions: bool = False, least: int
 
 
 def find_maximal_cliques(g: Graph, both_directions: bool = False, least: int = 3, name: str = "maximal_cliques") -> Graph:
-    c = maximal_cliques(g.need_edges(), both_directions, least).withColumn("sid", F.xxhash64("members"))
+    c = spill(maximal_cliques(g.need_edges(), both_directions, least))
+    c = with_id(c, ["members"], clash_free(c, ["members"]), "sid")
     v = c.select(F.col("sid").alias("id"), F.size("members").cast("double").alias("size"))
     return g.with_segmentation(name, Segmentation(Graph(v), c.select(F.explode("members").alias("vid"), "sid")))
 

@@ -13,19 +13,28 @@ def both_ways(edges: DataFrame, *keep: str) -> DataFrame:
     return edges.select(*keep, F.inline(F.array(F.struct(F.col("src").alias("center"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("center"), F.col("src").alias("other")))))
 
 
-def pairs(edges: DataFrame, direction: str) -> DataFrame:
-    """center, other for the direction. Symmetric edges are as many as the rarer of the two directions has, neighbours are distinct."""
+def pairs(edges: DataFrame, direction: str, weight: str | None = None) -> DataFrame:
+    """center, other for the direction. Symmetric edges are as many as the rarer of the two directions has, neighbours are distinct.
+
+    With ``weight`` also that attribute of the edge followed; of parallel edges to a neighbour the one of smallest eid counts (of two edges there and back the smaller, too).
+    No single edge stands for a symmetric one, so that a weight is an error there.
+    """
     if direction not in DIRECTIONS:
         raise ValueError(f"no direction {direction!r}; there are {DIRECTIONS}")
     kind = direction.replace("neighbors", "edges").replace("in-", "incoming ").replace("out-", "outgoing ")
+    keep = ["eid", weight] if weight else []
     if kind == "symmetric edges":
+        if weight:
+            raise ValueError(f"edge attributes are not defined on {direction}")
         out = symmetric(edges).select(F.col("src").alias("center"), F.col("dst").alias("other"))
     elif kind == "all edges":
-        out = both_ways(edges)
+        out = both_ways(edges, *keep)
     else:
         ends = ("dst", "src") if kind == "incoming edges" else ("src", "dst")
-        out = edges.select(F.col(ends[0]).alias("center"), F.col(ends[1]).alias("other"))
-    return out.distinct() if direction.endswith("neighbors") else out
+        out = edges.select(*keep, F.col(ends[0]).alias("center"), F.col(ends[1]).alias("other"))
+    if direction.endswith("neighbors"):
+        return out.groupBy("center", "other").agg(F.min(F.struct("eid", weight))[weight].alias(weight)) if weight else out.distinct()
+    return out.drop("eid")
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

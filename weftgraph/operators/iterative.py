@@ -32,13 +32,13 @@ def shortest_path(g: Graph, start: str, length: str | None = None, iterations: i
 
 
 def pagerank(g: Graph, weight: str | None = None, iterations: int = 5, damping: float = 0.85, direction: str = "outgoing edges", name: str = "page_rank") -> DataFrame:
-    """id and rank, on average 1.0. Edges of weight 0 or less do not count; what does not flow is shared out equally."""
-    if weight:
-        e = g.need_edges().where(F.col(weight) > 0)
-        ways = {"outgoing edges": e.select("src", "dst", F.col(weight).alias("w")), "incoming edges": e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col(weight).alias("w"))}
-        e = ways[direction] if direction in ways else both_ways(e, weight).select(F.col("center").alias("src"), F.col("other").alias("dst"), F.col(weight).alias("w"))
-    else:
-        e = pairs(g.need_edges(), direction).select(F.col("center").alias("src"), F.col("other").alias("dst"), F.lit(1.0).alias("w"))
+    """id and rank, on average 1.0. Edges of weight 0 or less do not count; what does not flow is shared out equally.
+
+    The direction may be any that :func:`pairs` knows, with a weight any but the symmetric ones.
+    """
+    e = g.need_edges()
+    e = pairs(e.where(F.col(weight) > 0) if weight else e, direction, weight)
+    e = e.select(F.col("center").alias("src"), F.col("other").alias("dst"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
     e = e.groupBy("src", "dst").agg(F.sum("w").alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
     flow = spill(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))

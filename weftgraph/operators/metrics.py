@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, hashed_id
+from ..graph import Graph, clash_free, with_id
+from ..runtime import spill
 from .direction import neighbours, pairs
 
 
@@ -190,8 +191,14 @@ def fragmentation(g: Graph, name: str) -> DataFrame:
     s = g.segmentation(name)
     m = s.membership
     inner = g.need_edges().join(m.withColumnsRenamed({"vid": "src", "sid": "s"}), "src").join(m.withColumnsRenamed({"vid": "dst", "sid": "t"}), "dst").where("s = t")
-    nodes = m.select(hashed_id("vid", "sid").alias("id"), "sid")
-    part = Graph(nodes, inner.select(hashed_id("src", "s").alias("src"), hashed_id("dst", "s").alias("dst")))
+    keys = ["vid", "sid"]
+    nodes = spill(m.select(*keys).distinct())
+    clashes = clash_free(nodes, keys)
+    inner = inner.select(F.col("s").alias("sid"), "src", "dst")
+    for end in ("src", "dst"):
+        inner = with_id(inner.withColumnRenamed(end, "vid"), keys, clashes, end).drop("vid")
+    nodes = with_id(nodes, keys, clashes)
+    part = Graph(nodes.select("id", "sid"), inner.select("src", "dst"))
     sizes = nodes.join(connected_components(part), "id").groupBy("sid", "component").agg(F.count(F.lit(1)).alias("k"))
     return sizes.groupBy(F.col("sid").alias("id")).agg((1 - F.max("k") / F.sum("k")).alias("fragmentation"))
 

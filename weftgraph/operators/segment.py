@@ -8,16 +8,17 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph, Segmentation, hashed_id
+from ..graph import Graph, Segmentation, clash_free, hashed_id, with_id
+from ..runtime import spill
 from .attributes import uniform
 from .direction import pairs
 
 
 def _from_keys(g: Graph, name: str, links: DataFrame, keys: Sequence[str], sizes: bool = False) -> Graph:
-    """Segments are the distinct ``keys`` of ``links`` (vid and keys); the keys are their attributes and hash to their ids."""
-    links = links.withColumn("sid", hashed_id(*keys))
-    segments = links.groupBy("sid").agg(*(F.first(k).alias(k) for k in keys), *([F.count(F.lit(1)).cast("double").alias("size")] if sizes else []))
-    return g.with_segmentation(name, Segmentation(Graph(segments.withColumnRenamed("sid", "id")), links.select("vid", "sid")))
+    """Segments are the distinct ``keys`` of ``links`` (vid and keys); the keys are their attributes, and their ids are hashes of them without clashes."""
+    segments = spill(links.groupBy(*keys).agg(*([F.count(F.lit(1)).cast("double").alias("size")] if sizes else [])) if sizes else links.select(*keys).distinct())
+    clashes = clash_free(segments, keys)
+    return g.with_segmentation(name, Segmentation(Graph(with_id(segments, keys, clashes).select("id", *segments.columns)), with_id(links, keys, clashes, "sid").select("vid", "sid")))
 
 
 def from_labels(g: Graph, name: str, labels: DataFrame, extra: bool = True) -> Graph:
@@ -133,9 +134,10 @@ def from_table(g: Graph, df: DataFrame, base_attr: str, base_column: str, seg_co
     """Segments are the distinct values of a column; vertices are found by another, compared as text."""
     left = g.vertices.select(F.col("id").alias("vid"), F.col(base_attr).cast("string").alias("_k"))
     rows = df.where(F.col(seg_column).isNotNull()).select(F.col(base_column).cast("string").alias("_k"), F.col(seg_column).cast("string").alias(seg_column))
-    every = rows.select(seg_column).distinct().withColumn("id", hashed_id(seg_column))
-    links = rows.join(left, "_k").select("vid", hashed_id(seg_column).alias("sid"))
-    return g.with_segmentation(name, Segmentation(Graph(every), links))
+    every = spill(rows.select(seg_column).distinct())
+    clashes = clash_free(every, [seg_column])
+    links = with_id(rows.join(left, "_k").select("vid", seg_column), [seg_column], clashes, "sid").select("vid", "sid")
+    return g.with_segmentation(name, Segmentation(Graph(with_id(every, [seg_column], clashes)), links))
 
 
 def links_from_table(g: Graph, name: str, df: DataFrame, base_attr: str, base_column: str, seg_attr: str, seg_column: str) -> Graph:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregators import aggregate
-from ..graph import Graph, Segmentation, hashed_id
+from ..graph import Graph, Segmentation, clash_free, hashed_id, with_id
+from ..runtime import spill
 from .direction import symmetric
 
 Specs = Sequence[tuple[str, str]]
@@ -34,17 +35,15 @@ def merge_parallel_edges(g: Graph, specs: Specs = (), by: str | None = None, pre
     keys = ["src", "dst"] + ([by] if by else [])
     e = g.need_edges()
     e = e.where(F.col(by).isNotNull()) if by else e
-    ids = e.groupBy(*keys).agg(F.min("eid").alias("eid"))
-    merged = ids.join(aggregate(e, keys, specs, prefix=prefix, suffix=suffix), keys) if specs else ids
+    merged = aggregate(e, keys, specs, prefix=prefix, suffix=suffix, also=[F.min("eid").alias("eid")])
     return g.with_edges(merged.select("eid", "src", "dst", *(c for c in merged.columns if c not in ("eid", "src", "dst"))))
 
 
 def merge_vertices(g: Graph, key: str, specs: Specs = (), prefix: str = "", suffix: bool = True) -> Graph:
     """One vertex for each defined value of ``key``, with the smallest merged id; edges and segment links are re-pointed, none merged."""
     v = g.vertices.where(F.col(key).isNotNull())
-    ids = v.groupBy(key).agg(F.min("id").alias("new_id"))
-    merged = ids.join(aggregate(v, [key], specs, prefix=prefix, suffix=suffix), key) if specs else ids
-    lead = v.select("id", key).join(ids, key).select("id", "new_id")
+    merged = aggregate(v, [key], specs, prefix=prefix, suffix=suffix, also=[F.min("id").alias("new_id")])
+    lead = v.select("id", key).join(v.groupBy(key).agg(F.min("id").alias("new_id")), key).select("id", "new_id")
     edges = g.edges
     if edges is not None:
         for end in ("src", "dst"):
@@ -76,7 +75,9 @@ def edge_graph(g: Graph) -> Graph:
 
 def split_vertices(g: Graph, repeat: str, index: str = "index") -> Graph:
     """Each vertex trunc(``repeat``) times (none if below 1), numbered from 0; edges and links go to all copies."""
-    copies = _copies(g.vertices, repeat, index).withColumn("_new", F.when(F.col(index) == 0, F.col("id")).otherwise(hashed_id("id", index)))
+    copies = _copies(g.vertices, repeat, index)
+    more = spill(copies.where(F.col(index) > 0).select("id", index))
+    copies = with_id(copies, ["id", index], clash_free(more, ["id", index], g.vertices), "_new").withColumn("_new", F.when(F.col(index) == 0, F.col("id")).otherwise(F.col("_new")))
     lead = copies.select("id", "_new")
     edges = g.edges
     if edges is not None:
@@ -137,22 +138,57 @@ def induced_edges(edges: DataFrame, src_map: DataFrame, dst_map: DataFrame) -> D
 
 
 def union(a: Graph, b: Graph) -> Graph:
-    """Disjoint union; ids are kept apart by the side, same-named attributes must have one type, missing ones are undefined."""
+    """Disjoint union. Vertices and edges of ``a`` keep their ids, those of ``b`` get others; same-named attributes must have one type, missing ones
+    are undefined. Segmentations of one name that both sides have are united too."""
     for kind in ("vertices", "edges"):
         x, y = getattr(a, kind), getattr(b, kind)
         if x is not None and y is not None:
             left, right = dict(x.dtypes), dict(y.dtypes)
             if clash := sorted(c for c in left.keys() & right.keys() if left[c] != right[c]):
                 raise ValueError(f"attributes of different types: {clash}")
+    vid = _apart(a.vertices, b.vertices, "id")
+    moved = b.vertices.withColumn("id", vid("id"))
+    v = a.vertices.unionByName(moved, allowMissingColumns=True)
+    e = a.edges
+    if b.edges is not None:
+        eid = _apart(a.edges, b.edges, "eid") if a.edges is not None else F.col
+        ends = b.edges.withColumns({"eid": eid("eid"), "src": vid("src"), "dst": vid("dst")})
+        e = ends if e is None else e.unionByName(ends, allowMissingColumns=True)
+    segs = dict(a.segmentations)
+    for name, s in b.segmentations.items():
+        links = s.membership.withColumn("vid", vid("vid"))
+        if name in segs:
+            mine = segs[name]
+            sid = _apart(mine.graph.vertices, s.graph.vertices, "id")
+            segs[name] = Segmentation(union(mine.graph, s.graph), mine.membership.unionByName(links.withColumn("sid", sid("sid"))))
+        else:
+            segs[name] = Segmentation(s.graph, links)
+    return Graph(v, e, {**b.scalars, **a.scalars}, segs)
 
-    def side(df: DataFrame | None, k: int, cols: list[str]) -> DataFrame | None:
-        return None if df is None else df.withColumns({c: F.col(c) * 2 + k for c in cols})
 
-    v = side(a.vertices, 0, ["id"]).unionByName(side(b.vertices, 1, ["id"]), allowMissingColumns=True)
-    ea, eb = side(a.edges, 0, ["eid", "src", "dst"]), side(b.edges, 1, ["eid", "src", "dst"])
-    e = ea.unionByName(eb, allowMissingColumns=True) if ea is not None and eb is not None else ea if ea is not None else eb
-    segs = {n: Segmentation(s.graph, s.membership.withColumn("vid", F.col("vid") * 2 + k)) for k, g in ((0, a), (1, b)) for n, s in g.segmentations.items()}
-    return Graph(v, e, {**b.scalars, **a.scalars}, segs)
+def _apart(a: DataFrame, b: DataFrame, key: str):
+    """A one-to-one mapping of ids of ``b`` to int64 that no row of ``a`` has as ``key``: c -> Column.
+
+    Natural keys (none below 0 on either side) become negative. Else ids are permuted pseudo-randomly, with another seed until none meets an id of ``a``: n*n / 2**64
+    are expected to meet, so the first does below a billion.
+    """
+    low = [df.agg(F.min(key)).first()[0] for df in (a, b)]
+    if all(x is None or x >= 0 for x in low):
+        return lambda c: -F.col(c) - 1
+    for seed in range(64):
+        way = lambda c, k=seed: permuted(F.col(c), k)
+        if not b.select(way(key).alias(key)).join(a.select(key), key, "left_semi").limit(1).count():
+            return way
+    raise ValueError("no permutation keeps the ids of both sides apart")
+
+
+def permuted(c: Column, seed: int) -> Column:
+    """A pseudo-random permutation of the int64: halves masked by hashes of each other in turn."""
+    low = F.lit(0xFFFFFFFF)
+    left, right = F.shiftrightunsigned(c, 32), c.bitwiseAND(low)
+    for k in range(3):
+        left, right = right, left.bitwiseXOR(F.xxhash64(right, F.lit(seed), F.lit(k)).bitwiseAND(low))
+    return F.shiftleft(left, 32).bitwiseOR(right)
 
 
 def rejoin(target: Graph, source: Graph, attributes: Sequence[str] = (), segmentations: Sequence[str] = (), edges: bool = False) -> Graph:

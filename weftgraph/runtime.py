@@ -5,19 +5,24 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a side may have at most to be broadcast by :func:`split_join`, which counts them before.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes that a side may have at most to be broadcast by :func:`split_join`, which counts them before.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (local tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own if the session is local; on a cluster an error."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), f"weftgraph-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -34,9 +39,22 @@ def spill(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
+    if _scopes:
+        _scopes[-1].append((spark, path))
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Every table that :func:`spill` writes inside the block is deleted at its end. Results that are read later must be written or collected inside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            _delete(spark, path)
+
+
 def rows_of(df: DataFrame) -> int:
     """Number of rows; of a table written by :func:`spill` it is read from the footers, and once only."""
     n = getattr(df, "_weft_rows", None)
@@ -51,9 +69,27 @@ def drop(df: DataFrame | None) -> None:
     """Delete a table written by :func:`spill` that nothing will read again."""
     path = getattr(df, "_weft_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether a side has at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes. ``rows`` tells how many there are at most, if known; rows of fixed width need no look then."""
+    if rows is not None and rows > BROADCAST_ROWS:
+        return False
+    loose = [f for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    fixed = 8 * (len(df.columns) - len(loose))
+    if not loose:
+        if rows is None:
+            rows = rows_of(df) if hasattr(df, "_weft_path") else df.limit(BROADCAST_ROWS + 1).count()
+        return rows <= BROADCAST_ROWS and rows * fixed <= BROADCAST_BYTES
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{f.name}`") if f.dataType.typeName() in ("string", "binary") else F.to_json(F.struct(f"`{f.name}`"))), F.lit(0)) for f in loose), F.lit(fixed))
+    n, size = df.limit(BROADCAST_ROWS + 1).select(width.alias("w")).agg(F.count(F.lit(1)), F.sum("w")).first()
+    return n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -75,14 +111,12 @@ def heavy_keys(df: DataFrame, cols: list[str], support: float = 0.01) -> dict[st
 def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", key: str | None = None, support: float = 0.02, heavy: list | None = None, right_rows: int | None = None) -> DataFrame:
     """Join a side with hot keys (``left``) to another without holding up one task.
 
-    A ``right`` of at most ``BROADCAST_ROWS`` rows (counted, unless ``right_rows`` says how many it has at most) is broadcast. Else, keys owning at least ``support`` of ``left`` are found
-    by sketch, or given as ``heavy``: their part of ``right`` is broadcast when it has at most as many rows, or both
+    A ``right`` that :func:`fits_broadcast` (``right_rows`` may say how many rows it has at most) is broadcast. Else, keys owning at least ``support`` of ``left`` are found
+    by sketch, or given as ``heavy``: their part of ``right`` is broadcast when it fits, or both
     sides are salted; all other keys take the ordinary shuffle join. ``how`` is inner, left, left_semi or left_anti. Null keys match nothing.
     """
     key = key or on[0]
-    if right_rows is None:
-        right_rows = rows_of(right) if hasattr(right, "_weft_path") else right.limit(BROADCAST_ROWS + 1).count()
-    if right_rows <= BROADCAST_ROWS:
+    if fits_broadcast(right, right_rows):
         return left.join(F.broadcast(right), on, how)
     heavy = heavy_keys(left, [key], support)[key] if heavy is None else heavy
     if not heavy:
@@ -90,7 +124,7 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
     hot_left, hot_right = left.where(hot), right.where(hot)
     rest = left.where(~hot).join(right.where(~hot), on, how)
-    if hot_right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits_broadcast(hot_right):
         part = hot_left.join(F.broadcast(hot_right), on, how)
     else:
         width = shuffle_width(left.sparkSession)
