@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -174,3 +175,34 @@ def test_intervals_are_merged(spark):
     t = lambda d: dt.datetime(2024, 1, d)
     v = spark.createDataFrame([(1, t(1), t(3)), (1, t(1), t(3)), (1, t(2), t(5)), (1, t(5), t(6)), (1, t(8), None), (1, t(9), t(10)), (2, t(4), t(4))], "vertexId bigint, loaded_at timestamp_ntz, deleted_at timestamp_ntz")
     assert sorted((r.key, r.a.day, r.b and r.b.day) for r in orphans.intervals_in_force(v).collect()) == [(1, 1, 6), (1, 8, None)]
+
+
+@given(st.lists(st.integers(0, orphans.RANGE_BITS - 1), max_size=60), st.lists(st.integers(0, orphans.RANGE_BITS - 1), max_size=60), st.booleans(), st.booleans())
+@settings(max_examples=100, deadline=None)
+def test_compressed_bitmaps(a, b, wide_a, wide_b):
+    """Arrays and bits of any size give what sets give."""
+    x = set(a) | (set(range(0, orphans.RANGE_BITS, 7)) if wide_a else set())
+    y = set(b) | (set(range(0, orphans.RANGE_BITS, 5)) if wide_b else set())
+    p, q = (orphans.bitmap(np.array(sorted(s), np.int64)) for s in (x, y))
+    assert set(orphans.positions_of(orphans.and_not(p, q)).tolist()) == x - y
+    assert set(orphans.positions_of(orphans.or_(p, q)).tolist()) == x | y
+    for c in (p, q, orphans.and_not(p, q), orphans.or_(p, q)):
+        assert c.nbytes <= orphans.RANGE_BITS // 8
+
+
+def test_orphans_of_a_hot_key_with_many_intervals(spark):
+    """One key has half of the references and many intervals within a month: as brute force says, and no row grows with the pairs."""
+    from datetime import datetime, timedelta
+
+    t0, rng = datetime(2024, 3, 1), random.Random(2)
+    v = [(7, t0 + timedelta(hours=2 * i), t0 + timedelta(hours=2 * i + 1)) for i in range(300)] + [(k, t0 + timedelta(days=k), None if k % 2 else t0 + timedelta(days=40)) for k in range(20, 40)]
+    e = [(i, 7 if i % 2 else rng.randrange(60), None, t0 + timedelta(minutes=rng.randrange(90 * 1440))) for i in range(800)]
+    refs = orphans.references(spark.createDataFrame(e, "edge_id bigint, srcVertexId bigint, dstVertexId bigint, loaded_at timestamp_ntz"), "t")
+    vertices = spark.createDataFrame(v, "vertexId bigint, loaded_at timestamp_ntz, deleted_at timestamp_ntz")
+    got = {(r.edge_id, r.kind, r.period) for r in orphans.orphan_references(refs, vertices).collect()}
+    want = set()
+    for i, k, _, at in e:
+        mine = [x for x in v if x[0] == k]
+        if not any(a <= at and (b is None or at < b) for _, a, b in mine):
+            want.add((i, "missing" if not mine else "deleted" if any(a <= at for _, a, b in mine) else "late", at.strftime("%Y-%m")))
+    assert got == want and len(want) > 200
