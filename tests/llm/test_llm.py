@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -262,6 +263,45 @@ def test_language_codes():
     assert [subjects.language_code(x) for x in ("EN", "eng", "de-XX", "fra", None, " es ")] == ["en", "en", "de", "fr", "", "es"]
 
 
+def test_language_codes_of_a_column(spark):
+    codes = ["EN", "eng", "de-XX", "fra", None, " es ", "xx", "q", "", "pt_BR"]
+    rows = spark.createDataFrame([(c,) for c in codes], "lang string").select(subjects.language_column("lang")).collect()
+    assert [r[0] for r in rows] == [subjects.language_code(c) for c in codes]
+
+
+def test_subject_models_sum_to_one():
+    """Of every context, the ratios of a subject's model times its background are probabilities, and none is below the share that may be borrowed."""
+    rng, n, size = np.random.default_rng(3), len(subjects.SUBJECTS), 12
+    text = rng.integers(2, size, 400)
+    v, w = np.append(1, text[:-1]), text
+    given_ = rng.random((400, n + 1))
+    one, two = np.zeros((size, n + 1)), np.zeros((size, size, n + 1))
+    np.add.at(one, w, given_)
+    np.add.at(two, (v, w), given_)
+    a, b = np.nonzero(two.sum(2))
+    m = subjects._model(np.append(np.full(size - 2, -1), a), np.append(np.arange(2, size), b), np.concatenate([one[2:], two[a, b]]), subjects.Languages(["en"], {f"w{i}": i for i in range(2, size)}, np.zeros((size, 1))))
+    prior = lambda c, every, k: (c + k * every) / (c.sum() + k)
+    for s in range(n):
+        rest = prior(one.sum(1) - one[:, s], one.sum(1) / one.sum(), subjects.UNIGRAM_PRIOR)
+        assert np.isclose((np.exp(m.single[:, s]) * rest).sum(), 1, atol=1e-5)
+        for context in range(2, size):
+            c = two[context]
+            back = subjects.BIGRAM * prior(c.sum(1) - c[:, s], c.sum(1) / c.sum(), subjects.BIGRAM_PRIOR) + (1 - subjects.BIGRAM) * rest
+            ratio = np.exp(m.single[:, s])
+            for x in np.flatnonzero(c.sum(1)):
+                ratio[x] = np.exp(m.pair[np.searchsorted(m.keys, context * size + x), s])
+            assert np.isclose((ratio * back).sum(), 1, atol=1e-4) and ratio.min() >= subjects.BORROWED - 1e-6
+
+
+def test_a_language_with_few_labels_is_modelled_with_others(spark):
+    rng = random.Random(8)
+    docs = [(d, written(rng, "law" if d % 2 else None), "en") for d in range(60)] + [(100 + d, " ".join(rng.choice(["lex", "ius", "domus", "via"]) for _ in range(5)) + ".", rng.choice(["la", "it", "pt"])) for d in range(12)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(d, "law" if d % 2 else None, "a") for d in range(60)] + [(100 + d, "law", "a") for d in range(12)], "doc_id bigint, subject string, annotator string")
+    sample = subjects.labelled_sample(frame, labels).mapInArrow(subjects._tokenised, "doc_id bigint, lang string, subjects array<string>, words array<string>, size array<int>")
+    assert subjects._languages(sample).codes == ["en", "other"]
+
+
 def test_null_ids_keep_the_others_exact(spark):
     big = 2**60 + 1
     docs = spark.createDataFrame([(big, "a b"), (None, "c"), (3, None)], "doc_id bigint, text string").coalesce(1)
