@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import BROADCAST_ROWS, spill, split_join
+from ..runtime import drop, rows_of, spill, split_join
 
 
 def places(locations: DataFrame) -> DataFrame:
@@ -16,13 +16,12 @@ def places(locations: DataFrame) -> DataFrame:
     """
     ends = locations.where("location is not null").groupBy("location").agg(F.min("alias_of").alias("next"))
     ends = spill(ends.select("location", F.coalesce("next", "location").alias("at"), F.col("next").isNull().alias("done")))
-    for _ in range(64):
+    for _ in range(rows_of(ends).bit_length()):  # twice the number of rows: whatever is not done then never ends
         if not ends.where("not done").limit(1).count():
             break
         onward = ends.select(F.col("location").alias("at"), F.col("at").alias("onward"), F.col("done").alias("end"))
-        step = spill(ends.join(onward, "at", "inner").select("location", F.col("onward").alias("at"), F.col("end").alias("done")))
-        if step.count() == ends.count() and not step.exceptAll(ends).limit(1).count():
-            break
+        step = spill(split_join(ends, onward, ["at"]).select("location", F.col("onward").alias("at"), F.col("end").alias("done")))
+        drop(ends)
         ends = step
     return ends.where("done").select("location", F.col("at").alias("place"))
 
@@ -36,7 +35,4 @@ def clean_events(events: DataFrame, locations: DataFrame) -> DataFrame:
     rows = events.where("event_id is not null").select("event_id", F.struct("loaded_at", "person_id", "time", "location").alias("row"))
     last = rows.groupBy("event_id").agg(F.max("row").alias("row")).select("event_id", "row.person_id", "row.time", "row.location")
     last = last.where("person_id is not null and time is not null and not isnan(time) and location is not null")
-    known = places(locations)
-    if known.count() <= BROADCAST_ROWS:
-        return last.join(F.broadcast(known), "location").select("person_id", "time", "event_id", "place")
-    return split_join(last, known, ["location"]).select("person_id", "time", "event_id", "place")
+    return split_join(last, places(locations), ["location"]).select("person_id", "time", "event_id", "place")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 
 import pyarrow as pa
@@ -63,15 +64,13 @@ class LeakSearch:
 
     def __init__(self, items: list[tuple[int, str | None]], passage: int = PASSAGE):
         self.ids: dict[str, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
+        by_length: dict[int, dict[tuple[int, ...], dict[int, None]]] = defaultdict(lambda: defaultdict(dict))
         for item, text in items:
             symbols = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
             length = min(passage, len(symbols))
             for i in range(len(symbols) - length + 1 if length else 0):
-                at = by_length[length][tuple(symbols[i : i + length])]
-                if item not in at:
-                    at.append(item)
-        self.tables = [_Patterns(n, p) for n, p in sorted(by_length.items())]
+                by_length[length][tuple(symbols[i : i + length])][item] = None
+        self.tables = [_Patterns(n, {x: list(items) for x, items in p.items()}) for n, p in sorted(by_length.items())]
 
     def find(self, text: str | None) -> set[int]:
         found: set[int] = set()
@@ -81,6 +80,17 @@ class LeakSearch:
         return found
 
 
+_built: dict[str, LeakSearch] = {}
+
+
+def _search_of(name: str, items: list[tuple[int, str | None]], passage: int) -> LeakSearch:
+    """The tables of a block of items, built once in a Python worker and kept until another block comes."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = LeakSearch(items, passage)
+    return _built[name]
+
+
 def leaks(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, block_chars: int = BLOCK_CHARS, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents that hold ``passage`` consecutive words of an item, or all words of a shorter one: doc_id, item_id.
 
@@ -88,7 +98,7 @@ def leaks(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, block_chars
     nothing, extra columns are not read. Whole texts are searched.
 
     The items are searched for in blocks of at most ``block_chars`` characters, one pass over the corpus each; a block goes
-    to every task, the corpus is never shuffled. Block shift tables skip places where no passage can end, buckets by the
+    to every worker, which builds its tables once, the corpus is never shuffled. Block shift tables skip places where no passage can end, buckets by the
     last and first block select passages, and comparison word by word confirms them.
     """
     total = items.agg(F.sum(F.length(item_text))).first()[0] or 0
@@ -99,8 +109,8 @@ def leaks(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, block_chars
         rows = [(r[0], r[1]) for r in mine.select(item_id, item_text).distinct().collect()]
         shared = spark.sparkContext.broadcast(rows)
 
-        def run(batches, shared=shared):
-            search = LeakSearch(shared.value, passage)
+        def run(batches, shared=shared, name=uuid.uuid4().hex):
+            search = _search_of(name, shared.value, passage)
             for batch in batches:
                 hits = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in search.find(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])

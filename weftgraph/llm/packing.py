@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import os
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +37,20 @@ def encoder(path: str = VOCABULARY, pattern: str = PATTERN):
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokens of each whole text: doc_id, text_hash, tokens. Null text counts as empty."""
+    """Tokens of each whole text: doc_id, text_hash (of 128 bits), tokens. Null text counts as empty.
+
+    The vocabulary at ``path`` is sent to the executors, where it need not lie at the same place.
+    """
+    docs.sparkSession.sparkContext.addFile(path)
 
     def run(batches):
-        enc = encoder(path, pattern)
+        enc = encoder(SparkFiles.get(os.path.basename(path)), pattern)
         for batch in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "text_hash", "tokens"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, tokens bigint")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.md5(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, text_hash string, tokens bigint")
 
 
 def pack(sizes: np.ndarray, capacity: int = CAPACITY, quadratic: float = QUADRATIC) -> tuple[np.ndarray, int]:
