@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import predicate
 from ..graph import Graph, clash_free, hashed_id, with_id
-from ..runtime import spill
+from ..runtime import numbered, spill, split_join
 from .attributes import uniform
+from .direction import in_order
 
 
 def use_table_as_vertices(df: DataFrame, key: str | None = None) -> Graph:
@@ -135,22 +136,20 @@ def random_walk_sample(g: Graph, starts: int = 1, walks: int = 10_000, abort: fl
     w = points.withColumn("walk", F.explode(F.sequence(F.lit(1), F.lit(walks)))).select(F.xxhash64("at", "walk").alias("walk"), "at")
     length = F.least(F.floor(F.log(uniform("walk", seed + 1)) / F.log(F.lit(1 - abort))) + 1, F.lit(most))
     w = spill(w.withColumn("length", length).withColumn("step", F.lit(0)))
-    out = spill(g.need_edges().groupBy("src").agg(F.array_sort(F.collect_list(F.struct("eid", "dst"))).alias("ways")))
+    ways, degree = in_order(g.need_edges().select(F.col("src").alias("at"), "eid", F.col("dst").alias("to")), "at", "eid")
     trail = [w.select("walk", "step", "at", F.lit(None).cast("bigint").alias("eid"))]
     for step in range(1, most + 1):
         alive = w.where(F.col("length") >= step)
-        pick = F.pmod(F.xxhash64("walk", F.lit(step), F.lit(seed)), F.size("ways"))
-        w = spill(alive.join(out, alive["at"] == out["src"]).select("walk", "length", F.lit(step).alias("step"), F.get("ways", pick.cast("int")).alias("way")).select("walk", "length", "step", F.col("way.dst").alias("at"), F.col("way.eid").alias("eid")))
+        pick = F.pmod(F.xxhash64("walk", F.lit(step), F.lit(seed)), F.col("d")).cast("int")
+        turn = split_join(alive.select("walk", "length", "at"), degree, ["at"]).select("walk", "length", "at", pick.alias("k")).join(ways, ["at", "k"])
+        w = spill(turn.select("walk", "length", F.lit(step).alias("step"), F.col("to").alias("at"), "eid"))
         trail.append(w.select("walk", "step", "at", "eid"))
         if not w.limit(1).count():
             break
     steps = trail[0]
     for t in trail[1:]:
         steps = steps.unionByName(t)
-    from pyspark.sql import Window
-
-    sizes = steps.groupBy("walk").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("before", F.sum("n").over(Window.orderBy("walk")) - F.col("n"))
+    sizes = numbered(steps.groupBy("walk").agg(F.count(F.lit(1)).alias("n")), "walk", "before", "n")
     steps = spill(steps.join(sizes, "walk").withColumn("k", (F.col("before") + F.col("step")).cast("double")))
     v = g.vertices.join(steps.groupBy(F.col("at").alias("id")).agg(F.min("k").alias(vertex_attr)), "id")
     e = g.edges.join(steps.where("eid is not null").groupBy("eid").agg(F.min("k").alias(edge_attr)), "eid")

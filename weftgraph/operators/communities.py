@@ -10,7 +10,7 @@ from ..graph import Graph, Segmentation, clash_free, with_id
 from ..runtime import spill
 from . import iterative, metrics
 from .direction import both_ways
-from .segment import from_labels
+from .segment import from_labels, overlapping
 
 
 def find_connected_components(g: Graph, directions: str = "ignore directions", name: str = "connected_components") -> Graph:
@@ -85,9 +85,12 @@ def find_infocom_communities(g: Graph, both_directions: bool = True, least: int
     g = find_maximal_cliques(g, both_directions, least, cliques)
     s = g.segmentation(cliques)
     m = spill(s.membership.join(s.graph.vertices.select(F.col("id").alias("sid"), "size"), "sid"))
-    both = m.select("vid", F.col("sid").alias("src"), F.col("size").alias("a")).join(m.select("vid", F.col("sid").alias("dst"), F.col("size").alias("b")), "vid").where("src < dst")
+    # what two cliques must share is at least 0.9 * threshold of the larger
+    shared = overlapping(m.select("sid", "vid", F.ceil(0.9 * threshold * F.col("size")).alias("need")))
+    sizes = m.groupBy("sid").agg(F.first("size").alias("size"))
+    both = shared.join(sizes.select(F.col("sid").alias("a"), F.col("size").alias("_a")), "a").join(sizes.select(F.col("sid").alias("b"), F.col("size").alias("_b")), "b").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("_a").alias("a"), F.col("_b").alias("b"), "n")
     enough = F.ceil(threshold * (F.col("a") + F.col("b")) * (F.col("a") ** 2 + F.col("b") ** 2) / (4 * F.col("a") * F.col("b")))
-    links = both.groupBy("src", "dst", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough)
+    links = both.where(F.col("n") >= enough)
     joined = iterative.connected_components(Graph(m.select(F.col("sid").alias("id")).distinct(), links.select("src", "dst")))
     out = m.join(joined.select(F.col("id").alias("sid"), "component"), "sid").select("vid", F.col("component").alias("sid")).distinct()
     v = out.groupBy(F.col("sid").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("size"))

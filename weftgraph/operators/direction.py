@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import spill
+
 DIRECTIONS = ("incoming edges", "outgoing edges", "all edges", "symmetric edges", "in-neighbors", "out-neighbors", "all neighbors", "symmetric neighbors")
 
 
@@ -48,3 +50,9 @@ def symmetric(edges: DataFrame) -> DataFrame:
 def neighbours(edges: DataFrame) -> DataFrame:
     """Simple undirected neighbourhood: center, other, distinct and without loops."""
     return both_ways(edges.where("src <> dst")).distinct()
+
+
+def in_order(pairs: DataFrame, at: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of each ``at`` numbered 0, 1, ... by ``by`` as k, and their number as d. So that one of a vertex's many neighbours is looked up by (vertex, number), and none has them all in a row."""
+    rows = spill(pairs.withColumn("k", F.row_number().over(Window.partitionBy(at).orderBy(by)) - 1))
+    return rows, spill(rows.groupBy(at).agg(F.count(F.lit(1)).alias("d")))

@@ -15,9 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph, hashed_id
-from ..runtime import spill
+from ..runtime import numbered, spill
 from .attributes import uniform
 from .build import create_vertices
+from .segment import kept_numbers
+
+#: Vertices of models that are fitted on the driver, at most.
+DRIVER_VERTICES = 20_000
 
 
 def _graph(spark: SparkSession, n: int, edges: Sequence[tuple[int, int]]) -> Graph:
@@ -37,20 +41,12 @@ def _sampled_pairs(spark: SparkSession, first: int, count: int, p: float, seed:
             for b in pdf["id"]:
                 rng = np.random.default_rng([seed, first, int(b)])
                 size = min(block, count - b * block)
-                kept = np.flatnonzero(rng.random(size) < p) if p > 0.2 else _skips(rng, size, p)
-                out.append(kept + b * block)
+                out.append(kept_numbers(rng, size, p) + b * block)
             yield pd.DataFrame({"k": np.concatenate(out) if out else np.zeros(0, np.int64)})
 
     return spark.range(-(-count // block)).mapInPandas(run, "k bigint")
 
 
-def _skips(rng: np.random.Generator, size: int, p: float) -> np.ndarray:
-    at = np.cumsum(rng.geometric(p, int(size * p + 10 * math.sqrt(size * p) + 20))) - 1
-    while at[-1] < size:
-        at = np.concatenate([at, at[-1] + np.cumsum(rng.geometric(p, 100))])
-    return at[at < size]
-
-
 def _unordered(k: DataFrame) -> DataFrame:
     """The k-th unordered pair src > dst."""
     a = F.floor((1 + F.sqrt(1 + 8 * F.col("k").cast("double"))) / 2).cast("bigint")
@@ -104,25 +100,18 @@ def scale_free_edges(g: Graph, iterations: int = 10, multiplier: float = 1.3, se
         tagged = e.withColumn("_u", uniform(F.xxhash64("src", "dst", F.row_number().over(Window.partitionBy("src", "dst").orderBy("src"))), seed * 1000 + r))
         copies = F.lit(0)
         acc, term = math.exp(-multiplier), math.exp(-multiplier)
-        for k in range(1, 12):
+        k = 0
+        while acc < 1 and (k <= multiplier or term > 2**-60):  # to the resolution of the uniform numbers
+            k += 1
             copies = copies + (F.col("_u") >= acc).cast("int")
             term *= multiplier / k
             acc += term
         many = spill(tagged.withColumn("_n", copies).where("_n > 0").select("src", "dst", "_u", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("i")))
-        side = lambda c, salt: _numbered(many.select(F.col(c), F.xxhash64("src", "dst", "_u", "i", F.lit(seed * 1000 + r), F.lit(salt)).alias("o")), c)  # noqa: B023, E731
+        side = lambda c, salt: numbered(many.select(F.col(c), F.xxhash64("src", "dst", "_u", "i", F.lit(seed * 1000 + r), F.lit(salt)).alias("o")), "o", "_at").drop("o")  # noqa: B023, E731
         e = spill(side("src", 1).join(side("dst", 2), "_at").select("src", "dst"))
     return g.with_edges(e.select(hashed_id("src", "dst", F.row_number().over(Window.partitionBy("src", "dst").orderBy("src"))).alias("eid"), "src", "dst"))
 
 
-def _numbered(df: DataFrame, value: str) -> DataFrame:
-    """Positions 0, 1, ... in the order of ``o``, without a single-task sort."""
-    parts = spill(df.repartitionByRange("o").withColumn("_p", F.spark_partition_id()))
-    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("before", F.sum("n").over(Window.orderBy("_p")) - F.col("n"))
-    at = F.row_number().over(Window.partitionBy("_p").orderBy("o")) - 1
-    return parts.join(F.broadcast(sizes.select("_p", "before")), "_p").select(value, (at + F.col("before")).alias("_at"))
-
-
 def barabasi_albert(spark: SparkSession, size: int = 100, attachments: int = 1, connected_at_start: int = 0, seed: int = 0) -> Graph:
     """Preferential attachment vertex by vertex (driver)."""
     rng, start = np.random.default_rng(seed), max(connected_at_start, attachments, 1)
@@ -337,7 +326,7 @@ def pso_edges(g: Graph, external_degree: float = 1.5, internal_degree: float = 1
     earlier ones nearest to it, about ``external_degree`` + the internal links due at that time. Attributes radial, angular."""
     n = max(2, g.vertices.count())
     shift = int(math.log(n))
-    order = _numbered(g.vertices.select("id", F.xxhash64("id", F.lit(seed)).alias("o")), "id")
+    order = numbered(g.vertices.select("id", F.xxhash64("id", F.lit(seed)).alias("o")), "o", "_at")
     v = order.select("id", (F.col("_at") + 1 + shift).cast("double").alias("order"))
     v = spill(v.select("id", "order", (2 * F.log("order")).alias("radial"), (uniform("id", seed + 1) * 2 * math.pi).alias("angular")))
     due = external_degree + 2 * internal_degree * (1 - exponent) / max(1e-9, (1 - n ** -(1 - exponent)) ** 2 * (2 * exponent - 1) if abs(2 * exponent - 1) > 1e-9 else 1.0) * 0.25
@@ -365,13 +354,16 @@ def hyperbolic_probability(g: Graph, radial: str = "radial", angular: str = "ang
 
 
 def predict_hyperbolic_edges(g: Graph, size: int = 100, radial: str = "radial", angular: str = "angular", temperature: float = 0.45) -> Graph:
-    """Add the ``size`` most probable pairs, with ``hyperbolic_edge_probability``; existing edges are not left out."""
+    """Add the ``size`` most probable pairs (all, if there are no more), with ``hyperbolic_edge_probability``; existing edges are not left out.
+
+    Pairs are looked for within a distance that grows until there are enough, at last within the largest that two vertices can have.
+    """
     R, T = _disk(g, radial, temperature)
     v = spill(g.vertices.where(f"{radial} is not null and {angular} is not null").select("id", F.col(radial).alias("radial"), F.col(angular).alias("angular")))
     limit = R
     while True:
         near = _near_angles(v, limit)
-        if limit > 4 * R or near.limit(size).count() >= size:
+        if limit > 2 * R + 2 * math.log(math.pi / 2) or near.limit(size).count() >= size:
             break
         limit += 1
     top = near.orderBy("distance", "src", "dst").limit(size)
@@ -379,13 +371,15 @@ def predict_hyperbolic_edges(g: Graph, size: int = 100, radial: str = "radial",
     return g.with_edges(new if g.edges is None else g.edges.unionByName(new, allowMissingColumns=True))
 
 
-def hyper_map(g: Graph, exponent: float = 0.6, candidates: int = 128, seed: int = 0) -> DataFrame:
+def hyper_map(g: Graph, exponent: float = 0.6, candidates: int = 128, seed: int = 0, repelling: int = 0, most: int = DRIVER_VERTICES) -> DataFrame:
     """Hyperbolic coordinates by greedy likelihood: id, radial, angular.
 
-    Vertices come in order of degree at radius 2 ln(order); each takes, of ``candidates`` angles, the likeliest given
-    its earlier neighbours and, in place of all non-neighbours, an angular repulsion from a fixed number of the first vertices.
-    One vertex depends on those before, so this runs on the driver, over adjacency lists.
+    Vertices come in order of degree at radius 2 ln(order); each takes, of ``candidates`` angles, the likeliest given its earlier neighbours and
+    earlier non-neighbours: all, or (as an approximation) the first ``repelling``.
+    One vertex depends on those before, so this runs on the driver, over adjacency lists, in time quadratic in the vertices; more than ``most`` are an error.
     """
+    if g.vertices.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} vertices")
     from .direction import neighbours
 
     rows = neighbours(g.need_edges()).groupBy("center").agg(F.collect_list("other").alias("near")).toPandas()
@@ -400,7 +394,7 @@ def hyper_map(g: Graph, exponent: float = 0.6, candidates: int = 128, seed: int
         score = np.zeros(candidates)
         R = 2 * math.log(max(2, k))
         prior = set(near.get(v, ()))
-        for u in [x for x in near.get(v, ()) if x in place] + [x for x in ids[: min(k - 1, 50)] if x not in prior]:
+        for u in [x for x in near.get(v, ()) if x in place] + [x for x in ids[: min(k - 1, repelling or n)] if x not in prior]:
             ru, tu = place[u]
             phi = np.maximum(np.pi - np.abs(np.pi - np.abs(angles - tu)), 1e-9)
             z = (r + ru * (1 - exponent) + r * exponent + 2 * np.log(phi / 2) - R) / 0.9

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..runtime import BROADCAST_ROWS, drop, heavy_keys, rows_of, spill, split_join
-from .direction import both_ways, neighbours, pairs
+from ..runtime import BROADCAST_ROWS, drop, heavy_keys, rows_of, spill, split_join, together
+from .direction import both_ways, in_order, neighbours, pairs
+
+#: Links that are solved in one task at most.
+LAST_LINKS = 200_000
 
 
 def shortest_path(g: Graph, start: str, length: str | None = None, iterations: int | None = 10, name: str = "distance") -> DataFrame:
@@ -18,16 +23,17 @@ def shortest_path(g: Graph, start: str, length: str | None = None, iterations: i
     With None it goes on until no vertex comes nearer, which needs lengths without negative cycles. Unreachable vertices are absent. Only vertices that came nearer in a round relax their edges in the next.
     """
     e = g.need_edges().select("src", F.col("dst"), (F.col(length) if length else F.lit(1.0)).alias("w"))
-    e = e.where("w is not null").groupBy("src", "dst").agg(F.min("w").alias("w"))
-    best = spill(g.vertices.where(F.col(start).isNotNull()).select("id", F.col(start).cast("double").alias("d")).groupBy("id").agg(F.min("d").alias("d")).withColumn("new", F.lit(True)))
+    e = spill(e.where("w is not null").groupBy("src", "dst").agg(F.min("w").alias("w")))
+    new = F.count_if("new")
+    best = spill(g.vertices.where(F.col(start).isNotNull()).select("id", F.col(start).cast("double").alias("d")).groupBy("id").agg(F.min("d").alias("d")).withColumn("new", F.lit(True)), n=new)
     for _ in count() if iterations is None else range(iterations):
-        moved = best.where("new").select(F.col("id").alias("src"), "d").join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("d") + F.col("w")).alias("n"))
+        if not best.seen["n"]:
+            break
+        moved = split_join(e, best.where("new").select(F.col("id").alias("src"), "d"), ["src"], right_rows=best.seen["n"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("d") + F.col("w")).alias("n"))
         after = best.drop("new").join(moved, "id", "full").select("id", F.least("d", "n").alias("d"), F.coalesce(F.col("n") < F.col("d"), F.col("d").isNull()).alias("new"))
-        after = spill(after)
+        after = spill(after, n=new)
         drop(best)
         best = after
-        if not best.where("new").limit(1).count():
-            break
     return best.select("id", F.col("d").alias(name))
 
 
@@ -42,62 +48,100 @@ def pagerank(g: Graph, weight: str | None = None, iterations: int = 5, damping:
     e = e.groupBy("src", "dst").agg(F.sum("w").alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
     flow = spill(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
-    ids = spill(g.vertices.select("id"))
-    n = ids.count()
+    ids = spill(g.vertices.select("id"), n=F.count(F.lit(1)))
+    n = ids.seen["n"]
+    heavy = heavy_keys(flow, ["src"], 0.02)["src"] if n > BROADCAST_ROWS else []
     rank = ids.withColumn("r", F.lit(1.0))
     for _ in range(iterations):
-        moved = spill(flow.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((F.sum(F.col("r") * F.col("share")) * damping).alias("in")))
-        rest = (n - (moved.agg(F.sum("in")).first()[0] or 0.0)) / max(n, 1)
+        ranks = rank.withColumnRenamed("id", "src")
+        moved = spill(split_join(flow, ranks, ["src"], heavy=heavy, right_rows=n).groupBy(F.col("dst").alias("id")).agg((F.sum(F.col("r") * F.col("share")) * damping).alias("in")), total=F.sum("in"))
+        rest = (n - (moved.seen["total"] or 0.0)) / max(n, 1)
         rank = ids.join(moved, "id", "left").select("id", (F.coalesce("in", F.lit(0.0)) + rest).alias("r"))
     return rank.withColumnRenamed("r", name)
 
 
-def connected_components(g: Graph, directions: str = "ignore directions") -> DataFrame:
+def _solved(links: DataFrame) -> DataFrame:
+    """v and r, the least vertex of its component, of few links (a, b), in one task."""
+
+    def run(batches):
+        a, b = (np.concatenate(x) for x in zip(*([c.to_numpy() for c in (x.column("a"), x.column("b"))] for x in batches)))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = np.split(at, 2)
+        label, before = np.arange(len(ids)), None
+        while before is None or (label != before).any():
+            before = label.copy()
+            np.minimum.at(label, a, before[b])
+            np.minimum.at(label, b, before[a])
+            label = label[label]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], names=["v", "r"])
+
+    return links.repartition(1).mapInArrow(run, "v bigint, r bigint")
+
+
+def connected_components(g: Graph, directions: str = "ignore directions", last_links: int = LAST_LINKS) -> DataFrame:
     """id and component, the smallest id of it. ``require both directions`` uses only pairs linked both ways.
 
-    Every vertex takes the least label around it and then that label's own label, so that labels travel
-    distances that double. Labels are broadcast while they are few; else those of hubs are.
+    The graph is contracted: each round every vertex hooks to the least of its closed neighbourhood and follows the hook of that one; links are
+    relabelled and deduplicated, so that they become fewer. At most ``last_links`` of them (0: none) are solved in one task. The mappings of the rounds are then
+    expanded backwards. The least vertex of a component always hooks to itself. Hooks are broadcast while they are few; else those of hubs are.
     """
-    e = g.need_edges()
-    if directions == "require both directions":
-        from .metrics import simple_pairs
-
-        e = simple_pairs(e, mutual=True).withColumnsRenamed({"a": "src", "b": "dst"})
-    links = spill(neighbours(e).withColumnsRenamed({"center": "v", "other": "u"}))
-    label = spill(g.vertices.select(F.col("id").alias("u"), F.col("id").alias("l")).distinct())
-    n = rows_of(label)
-    heavy = heavy_keys(links, ["u"], 0.02)["u"] if n > BROADCAST_ROWS else []
-    while True:
-        near = split_join(links, label, ["u"], heavy=heavy, right_rows=n).groupBy(F.col("v").alias("u")).agg(F.min("l").alias("m"))
-        hop = spill(label.join(near, "u", "left").select("u", F.least("l", "m").alias("l"), F.col("l").alias("old")))
-        step = hop.select("u", "l", "old")
-        for k in range(2):
-            onward = hop.select(F.col("u").alias("l"), F.col("l").alias(f"l{k}"))
-            step = split_join(step, onward, ["l"], right_rows=n).select("u", F.least("l", f"l{k}").alias("l"), "old")
-        after = spill(step)
-        changed = after.where("l <> old").limit(1).count()
-        drop(hop)
-        drop(label)
-        label = after.drop("old")
-        label._weft_path = after._weft_path
-        if not changed:
-            return label.select(F.col("u").alias("id"), F.col("l").alias("component"))
+    from .metrics import simple_pairs
+
+    links = spill(simple_pairs(g.need_edges(), directions == "require both directions"))
+    maps = []
+    while (total := rows_of(links)) > last_links:
+        both = links.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))))
+        hooks = spill(both.groupBy("v").agg(F.min("w").alias("w"), F.count(F.lit(1)).alias("degree")).select("v", F.least("v", "w").alias("r"), "degree"), n=F.count(F.lit(1)))
+        n = hooks.seen["n"]
+        heavy = [x.v for x in hooks.where(F.col("degree") * 50 >= total).select("v").collect()] if n > BROADCAST_ROWS else []  # at most 100
+        jumped = spill(_through(hooks.select("v", "r"), hooks, n))
+        for end in ("a", "b"):
+            links = split_join(links, jumped.select(F.col("v").alias(end), F.col("r").alias(f"r_{end}")), [end], heavy=heavy, right_rows=n)
+        after = spill(links.where("r_a <> r_b").select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b")).distinct())
+        drop(hooks)
+        links = after
+        maps.append(jumped)
+    if rows_of(links):
+        maps.append(spill(_solved(links)))
+    if not maps:
+        return g.vertices.select("id", F.col("id").alias("component"))
+    label = maps.pop()
+    while maps:
+        label = spill(_through(maps.pop(), label, rows_of(label)))
+    return split_join(g.vertices.select(F.col("id").alias("v")), label, ["v"], "left").select(F.col("v").alias("id"), F.coalesce("r", "v").alias("component"))
+
+
+def _through(first: DataFrame, then: DataFrame, rows: int) -> DataFrame:
+    """v and what ``then`` maps its r to, or r itself where it does not."""
+    onward = then.select(F.col("v").alias("r"), F.col("r").alias("_r"))
+    return split_join(first, onward, ["r"], "left", right_rows=rows).select("v", F.coalesce("_r", "r").alias("r"))
 
 
 def k_core(g: Graph, name: str = "core") -> DataFrame:
-    """id and core number of the undirected simple graph: the fixpoint of the h-index over the neighbours' numbers."""
+    """id and core number of the undirected simple graph: the fixpoint of the h-index over the neighbours' numbers.
+
+    A vertex is looked at again only if a neighbour's number has fallen below its own. Numbers are broadcast while they are few; else those of hubs are.
+    """
     links = spill(neighbours(g.need_edges()).withColumnsRenamed({"center": "v", "other": "u"}))
-    core = spill(links.groupBy("v").agg(F.count(F.lit(1)).alias("k")))
+    core = spill(links.groupBy("v").agg(F.count(F.lit(1)).alias("k")).withColumn("before", F.col("k")), n=F.count(F.lit(1)))
+    n = core.seen["n"]
+    heavy = heavy_keys(links, ["u"], 0.02)["u"] if n > BROADCAST_ROWS else []
+    look = links
     while True:
-        other = core.select(F.col("v").alias("u"), F.col("k").alias("ku"))
-        seen = links.join(other, "u").join(core, "v").groupBy("v", "k", F.least("k", "ku").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+        now = core.select("v", "k")
+        seen = split_join(split_join(look, now.withColumnsRenamed({"v": "u", "k": "ku"}), ["u"], heavy=heavy, right_rows=n), now, ["v"], heavy=heavy, right_rows=n)
+        counted = seen.groupBy("v", "k", F.least("k", "ku").alias("c")).agg(F.count(F.lit(1)).alias("n"))
         at_least = F.sum("n").over(Window.partitionBy("v").orderBy(F.desc("c")))
-        after = spill(seen.withColumn("h", F.least("c", at_least)).groupBy("v", "k").agg(F.max("h").alias("h")))
-        changed = after.where("h < k").limit(1).count()
+        fallen = counted.withColumn("h", F.least("c", at_least)).groupBy("v").agg(F.max("h").alias("h"))
+        after = spill(now.join(fallen, "v", "left").select("v", F.coalesce("h", "k").alias("k"), F.col("k").alias("before")), m=F.count_if(F.col("k") < F.col("before")))
         drop(core)
-        core = after.select("v", F.col("h").alias("k"))
-        if not changed:
+        core, m = after, after.seen["m"]
+        if not m:
             break
+        # a vertex is woken by a link whose other end has fallen below its own number
+        fell = core.where("k < before").select(F.col("v").alias("u"), F.col("k").alias("ku"))
+        wake = split_join(split_join(links, fell, ["u"], heavy=heavy, right_rows=m), core.select("v", "k"), ["v"], heavy=heavy, right_rows=n).where("ku < k").select("v").distinct()
+        look = split_join(links, wake, ["v"], "left_semi", heavy=heavy, right_rows=n)
     return g.vertices.select("id").join(core.select(F.col("v").alias("id"), F.col("k").cast("double").alias(name)), "id", "left").fillna(0.0, [name])
 
 
@@ -251,19 +295,22 @@ def sfigality(g: Graph, name: str = "centrality") -> DataFrame:
 def k_path_centrality(g: Graph, k: int = 3, samples: int = 1000, seed: int = 0, name: str = "centrality") -> DataFrame:
     """How often random simple paths of 1 to ``k`` edges visit a vertex after their start, times vertices over paths: id and value.
 
-    Starts, lengths and turns are hashes; every path is a row, extended once a round.
+    Starts, lengths and turns are hashes; every path is a row, extended once a round. Of a vertex's neighbours in order, those on the path (at most
+    ``k``) are passed over by their numbers.
     """
-    near = spill(neighbours(g.need_edges()).groupBy(F.col("center").alias("at")).agg(F.array_sort(F.collect_list("other")).alias("near")))
+    near, degree = in_order(neighbours(g.need_edges()).select(F.col("center").alias("at"), F.col("other").alias("to")), "at", "to")
     n = max(1, g.vertices.count())
     each = -(-samples // n)
     w = g.vertices.select(F.col("id").alias("at"), F.explode(F.sequence(F.lit(1), F.lit(each))).alias("i")).withColumn("w", F.xxhash64("at", "i", F.lit(seed)))
     w = spill(w.select("w", "at", F.array("at").alias("path"), (F.pmod(F.col("w"), F.lit(k)) + 1).alias("length")))
     visits = None
     for step in range(1, k + 1):
-        free = F.filter("near", lambda x: ~F.array_contains("path", x))
-        turn = w.where(F.col("length") >= step).join(near, "at").withColumn("free", free).where(F.size("free") > 0)
-        pick = F.get("free", F.pmod(F.xxhash64("w", F.lit(step)), F.size("free")).cast("int"))
-        w = spill(turn.select("w", "length", "path", pick.alias("to")).select("w", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), "length"))
+        going = w.where(F.col("length") >= step)
+        used = going.select("w", "at", F.explode("path").alias("to")).join(near, ["at", "to"]).groupBy("w").agg(F.sort_array(F.collect_list("k")).alias("used"))
+        turn = split_join(going, degree, ["at"]).join(used, "w", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>"))).withColumn("free", F.col("d") - F.size("used")).where("free > 0")
+        pick = F.aggregate("used", F.pmod(F.xxhash64("w", F.lit(step)), F.col("free")).cast("int"), lambda x, u: F.when(x >= u, x + 1).otherwise(x))
+        turn = turn.select("w", "length", "path", "at", pick.alias("k")).join(near, ["at", "k"])
+        w = spill(turn.select("w", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), "length"))
         here = w.select("at")
         visits = here if visits is None else visits.unionByName(here)
     per = visits.groupBy(F.col("at").alias("id")).agg((F.count(F.lit(1)) / each).alias(name))
@@ -338,17 +385,20 @@ def coloring(g: Graph, name: str = "color") -> DataFrame:
     order = F.struct(F.col("d"), F.xxhash64("v"), F.col("v"))
     keyed = deg.select("v", order.alias("k"))
     links = spill(links.join(keyed, "v").join(keyed.withColumnsRenamed({"v": "u", "k": "ku"}), "u").select("v", "u", (F.col("ku") > F.col("k")).alias("before")))
-    done = spill(g.vertices.select(F.col("id").alias("v")).join(deg, "v", "left_anti").select("v", F.lit(1).alias("c")))
-    left = spill(deg.select("v"))
-    while left.limit(1).count():
-        open_ = links.where("before").join(left.withColumnRenamed("v", "u"), "u", "left_semi").select("v").distinct()
+    done = [spill(g.vertices.select(F.col("id").alias("v")).join(deg, "v", "left_anti").select("v", F.lit(1).alias("c")))]
+    left = spill(deg.select("v"), n=F.count(F.lit(1)))
+    while n := left.seen["n"]:
+        # links of uncoloured vertices; those of coloured ends that come before say what is taken
+        open_ = split_join(links.where("before"), left.withColumnRenamed("v", "u"), ["u"], "left_semi", right_rows=n).select("v").distinct()
         ready = left.join(open_, "v", "left_anti")
-        used = links.join(ready, "v", "left_semi").join(done.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.array_sort(F.collect_set("c")).alias("used"))
+        used = together(done).withColumnRenamed("v", "u").join(links.join(ready, "v", "left_semi"), "u").groupBy("v").agg(F.array_sort(F.collect_set("c")).alias("used"))
         free = F.coalesce(F.expr("filter(sequence(1, size(used) + 1), x -> not array_contains(used, x))[0]"), F.lit(1))
         now = spill(ready.join(used, "v", "left").select("v", free.alias("c")))
-        left = spill(left.join(now, "v", "left_anti"))
-        done = spill(done.unionByName(now))
-    return done.select(F.col("v").alias("id"), F.col("c").cast("double").alias(name))
+        done.append(now)
+        after = spill(left.join(now, "v", "left_anti"), n=F.count(F.lit(1)))
+        drop(left)
+        left = after
+    return together(done).select(F.col("v").alias("id"), F.col("c").cast("double").alias(name))
 
 
 def label_propagation(g: Graph, weight: str | None = None, variant: str = "classic", iterations: int = 20) -> DataFrame:

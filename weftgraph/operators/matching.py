@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..runtime import drop, rows_of, spill
+from ..runtime import drop, rows_of, spill, together
 from .direction import neighbours
 
 #: Edges that the fires of one batch burn at about.
@@ -88,14 +88,16 @@ def link_by_fingerprint(g: Graph, name: str, least_overlap: int = 1, least_simil
     return out.with_vertex_values(found.select(F.col("left").alias("id"), F.col("similarity").alias(f"{name}_similarity_score")))
 
 
-def steiner_tree(g: Graph, edge_cost: str, root_cost: str, gain: str, arc: str = "arc", node: str = "node", profit: str = "profit", root: str = "rootpoints") -> Graph:
+def steiner_tree(g: Graph, edge_cost: str, root_cost: str, gain: str, arc: str = "arc", node: str = "node", profit: str = "profit", root: str = "rootpoints", most: int = 1_000_000) -> Graph:
     """A prize-collecting forest over directed edges: from a root point (vertex with a ``root_cost``), paths to vertices whose ``gain`` outweighs their cost.
 
-    Greedy: again and again the path of best profit joins the forest. Sequential, so it runs on the driver; for graphs that fit there.
+    Greedy: again and again the path of best profit joins the forest. Sequential, so it runs on the driver; more than ``most`` edges are an error.
     ``arc`` is 1.0 on chosen edges, ``node`` 1.0 on vertices reached, ``root`` the cost of chosen root points; scalar ``profit``.
     """
     import heapq
 
+    if g.need_edges().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} edges")
     v = g.vertices.select("id", F.col(root_cost).alias("r"), F.coalesce(F.col(gain), F.lit(0.0)).alias("g")).toPandas()
     e = g.need_edges().select("eid", "src", "dst", F.col(edge_cost).alias("c")).where("c is not null").toPandas()
     prize = dict(zip(v["id"], v["g"]))
@@ -142,11 +144,6 @@ def steiner_tree(g: Graph, edge_cost: str, root_cost: str, gain: str, arc: str =
     return g.with_vertex_values(nodes).with_edge_values(edges).with_scalars(**{profit: total})
 
 
-def _together(written: list[DataFrame]) -> DataFrame:
-    """Tables of one schema written by ``spill``, as one scan."""
-    return written[0].sparkSession.read.schema(written[0].schema).parquet(*(x._weft_path for x in written))
-
-
 def forest_fire_scores(g: Graph, spread: float = 0.99, burn_ratio: float = 10.0, seed: int = 0, name: str = "forest_fire_score") -> DataFrame:
     """eid and how often fires burn over an edge, over the most for any. Fires start at random vertices with neighbours, in batches, until
     ``burn_ratio`` times the edges have burned; each burning vertex lights a geometric number of unburned neighbours.
@@ -171,7 +168,7 @@ def forest_fire_scores(g: Graph, spread: float = 0.99, burn_ratio: float = 10.0,
         fired += rows_of(front)
         d, levels = 0, [front]
         while True:
-            seen = _together(levels)
+            seen = together(levels)
             draw = F.xxhash64("fire", "at", "to", F.lit(d))
             order = F.row_number().over(Window.partitionBy("fire", "at").orderBy(draw))
             much = F.floor(F.log(uniform(F.xxhash64("fire", "at", F.lit(d)), 2)) / F.log(F.lit(min(max(spread * 0.7, 1e-6), 1 - 1e-6))))
@@ -181,7 +178,7 @@ def forest_fire_scores(g: Graph, spread: float = 0.99, burn_ratio: float = 10.0,
             if not rows_of(front):
                 break
             burned, d = burned + rows_of(front), d + 1
-        seen = _together(levels)
+        seen = together(levels)
         largest = max(largest, seen.groupBy("fire").count().agg(F.max("count")).first()[0] or 1)
         each = seen.where("eid is not null").groupBy("eid").agg(F.count(F.lit(1)).alias("n"))
         after = spill(each if counts is None else each.unionByName(counts).groupBy("eid").agg(F.sum("n").alias("n")))

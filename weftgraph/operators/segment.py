@@ -5,13 +5,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph, Segmentation, clash_free, hashed_id, with_id
 from ..runtime import spill
-from .attributes import uniform
-from .direction import pairs
+from .direction import in_order, pairs
+
+#: Segments of one vertex from which overlaps are looked for by prefixes.
+HOT_VERTEX = 1_000
+
+
+def kept_numbers(rng: np.random.Generator, size: int, p: float) -> np.ndarray:
+    """The numbers below ``size`` that are kept with probability p, by geometric skips."""
+    if p <= 0:
+        return np.zeros(0, np.int64)
+    if p > 0.2:
+        return np.flatnonzero(rng.random(size) < p)
+    at = np.cumsum(rng.geometric(p, int(size * p + 10 * (size * p) ** 0.5 + 20))) - 1
+    while at[-1] < size:
+        at = np.concatenate([at, at[-1] + np.cumsum(rng.geometric(p, 100))])
+    return at[at < size]
 
 
 def _from_keys(g: Graph, name: str, links: DataFrame, keys: Sequence[str], sizes: bool = False) -> Graph:
@@ -84,12 +100,14 @@ def by_event_sequence(g: Graph, locations: str, time: str, people: DataFrame, al
         links = rows.where(low <= high).select(F.col("person").alias("vid"), "locations", F.explode(F.sequence(low, high)).alias("bucket"))
     else:
         e = e.withColumn("k", F.row_number().over(w))
-        later = e.select("person", F.col("t").alias("_t"), F.col("loc").alias("_loc"), F.col("k").alias("_k"))
+        # events are joined by windows of time too: what is within a window lies in the same or in the next
+        slot = lambda t: F.floor(F.col(t) / window)
+        later = e.select("person", F.col("t").alias("_t"), F.col("loc").alias("_loc"), F.col("k").alias("_k"), slot("t").alias("_slot"))
         rows = e.select("person", F.array("loc").alias("locations"), F.col("t").alias("begin"), F.col("t").alias("end"), F.col("k").alias("first"), F.col("k").alias("last"))
         for _ in range(length - 1):
-            rows = rows.join(later, "person").where((F.col("_k") > F.col("last")) & (F.col("_t") < F.col("begin") + window))
+            rows = rows.withColumn("_slot", F.explode(F.array(slot("begin"), slot("begin") + 1))).join(later, ["person", "_slot"]).where((F.col("_k") > F.col("last")) & (F.col("_t") < F.col("begin") + window))
             rows = rows.select("person", F.concat("locations", F.array("_loc")).alias("locations"), "begin", F.col("_t").alias("end"), "first", F.col("_k").alias("last"))
-        opened = rows.join(later, "person").where((F.col("_k") <= F.col("first")) & (F.col("end") < F.col("_t") + window))
+        opened = rows.withColumn("_slot", F.explode(F.array(slot("end"), slot("end") - 1))).join(later, ["person", "_slot"]).where((F.col("_k") <= F.col("first")) & (F.col("end") < F.col("_t") + window))
         links = opened.select(F.col("person").alias("vid"), "locations", F.floor(F.col("_t") / step).alias("bucket"))
     return _from_keys(g, name, links.distinct(), ["bucket", "locations"], True)
 
@@ -187,25 +205,59 @@ def edges_from_cooccurrence(g: Graph, name: str) -> Graph:
 def sample_cooccurrence(g: Graph, name: str, probability: float = 0.001, seed: int = 0) -> Graph:
     """Each ordered pair that shares a segment once, with the probability; ``multiplicity`` is the number of shared segments.
 
-    Whether a pair is kept depends on its hash alone, so pairs are thinned out before they are counted.
+    The pairs of a segment are numbered and drawn by skips, so that the work is in proportion to the sample. A pair counts if it was drawn in the least segment it shares.
     """
-    m = g.segmentation(name).membership
-    out = m.select("sid", F.col("vid").alias("src")).join(m.select("sid", F.col("vid").alias("dst")), "sid")
-    out = out.where(uniform(F.xxhash64("src", "dst"), seed) < probability).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("multiplicity"))
+    m = g.segmentation(name).membership.distinct()
+    members, size = in_order(m, "sid", "vid")
+    block = max(1, int(20_000 / max(probability, 1e-12)))
+    blocks = size.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(d * d - 1) div {block}"))))
+
+    def run(batches):
+        for pdf in batches:
+            sids, at = [], []
+            for sid, d, b in zip(pdf["sid"], pdf["d"], pdf["b"]):
+                kept = kept_numbers(np.random.default_rng([seed, sid & 0x7FFFFFFFFFFFFFFF, b]), min(block, d * d - b * block), probability) + b * block
+                sids.append(np.full(len(kept), sid))
+                at.append(np.stack([kept // d, kept % d]))
+            yield pd.DataFrame({"sid": np.concatenate(sids), "i": np.concatenate([x[0] for x in at]), "j": np.concatenate([x[1] for x in at])})
+
+    drawn = blocks.repartition("sid", "b").mapInPandas(run, "sid bigint, i bigint, j bigint")
+    for end, k in (("src", "i"), ("dst", "j")):
+        drawn = drawn.join(members.select("sid", F.col("vid").alias(end), F.col("k").cast("bigint").alias(k)), ["sid", k])
+    drawn = spill(drawn.select("src", "dst", F.col("sid").alias("_drawn")))
+    both = drawn.join(m.select(F.col("vid").alias("src"), "sid"), "src").join(m.select(F.col("vid").alias("dst"), "sid"), ["dst", "sid"])
+    out = both.groupBy("src", "dst", "_drawn").agg(F.count(F.lit(1)).cast("double").alias("multiplicity"), F.min("sid").alias("_least")).where("_drawn = _least")
     return g.with_edges(out.select(hashed_id("src", "dst").alias("eid"), "src", "dst", "multiplicity"))
 
 
+def overlapping(m: DataFrame) -> DataFrame:
+    """Pairs a < b of segments that can share as many vertices as both ``need``, with the number they share: a, b, n. ``m`` has sid, vid (distinct) and need (of the segment).
+
+    While no vertex is in more than ``HOT_VERTEX`` segments, all pairs of a vertex are counted. Else the vertices of each segment are ordered by the number of their segments, and only the pairs
+    that share one of the first ``size - need + 1`` of both are looked at: all others cannot share enough. So vertices of many segments hardly form pairs.
+    """
+    m = spill(m)
+    many = m.groupBy("vid").agg(F.count(F.lit(1)).alias("_many"))
+    pair = lambda x: x.select("vid", F.col("sid").alias("a")).join(x.select("vid", F.col("sid").alias("b")), "vid").where("a < b")
+    if (many.agg(F.max("_many")).first()[0] or 0) <= HOT_VERTEX:
+        return pair(m).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    size = m.groupBy("sid").agg(F.count(F.lit(1)).alias("_size"))
+    at = F.row_number().over(Window.partitionBy("sid").orderBy("_many", "vid"))
+    first = m.join(many, "vid").join(size, "sid").withColumn("_at", at).where("_at <= _size - need + 1")
+    candidates = spill(pair(first).select("a", "b").distinct())
+    x = candidates.join(m.select(F.col("sid").alias("a"), "vid"), "a").join(m.select(F.col("sid").alias("b"), "vid"), ["b", "vid"])
+    return x.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
 def edges_from_overlap(g: Graph, name: str, least: int = 3) -> Graph:
     """Both edges between segments that share at least ``least`` vertices, with ``Overlap size``.
 
-    Segments smaller than ``least`` are left out before pairs are formed, and each unordered pair is formed once.
+    Segments smaller than ``least`` are left out before pairs are formed, and each unordered pair is formed once, by :func:`overlapping`.
     """
     s = g.segmentation(name)
     m = s.membership.distinct()
     large = m.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("sid")
-    m = m.join(large, "sid", "left_semi")
-    both = m.select("vid", F.col("sid").alias("a")).join(m.select("vid", F.col("sid").alias("b")), "vid").where("a < b")
-    shared = both.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("Overlap size")).where(F.col("Overlap size") >= least)
+    shared = overlapping(m.join(large, "sid", "left_semi").select("sid", "vid", F.lit(least).alias("need"))).where(F.col("n") >= least).select("a", "b", F.col("n").cast("double").alias("Overlap size"))
     out = shared.select("Overlap size", F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))))
     return g.with_segmentation(name, replace(s, graph=s.graph.with_edges(out.select(hashed_id("src", "dst").alias("eid"), "src", "dst", "Overlap size"))))
 

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes that a side may have at most to be broadcast by :func:`split_join`, which counts them before.
@@ -28,17 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def spill(df: DataFrame) -> DataFrame:
+def spill(df: DataFrame, **observed: Column) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()``, but computes the plan only once, stores it
-    compressed by column, and survives the loss of executors.
+    compressed by column, and survives the loss of executors. ``observed`` are aggregates taken while writing; their values are
+    in the ``seen`` of the result.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftgraph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if observed:
+        watch = Observation()
+        df.observe(watch, *(c.alias(n) for n, c in observed.items())).write.parquet(path)
+    else:
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
+    if observed:
+        out.seen = watch.get
     if _scopes:
         _scopes[-1].append((spark, path))
     return out
@@ -55,6 +62,11 @@ def scratch() -> Iterator[None]:
             _delete(spark, path)
 
 
+def together(written: list[DataFrame]) -> DataFrame:
+    """Tables of one schema written by :func:`spill`, as one scan."""
+    return written[0].sparkSession.read.schema(written[0].schema).parquet(*(x._weft_path for x in written))
+
+
 def rows_of(df: DataFrame) -> int:
     """Number of rows; of a table written by :func:`spill` it is read from the footers, and once only."""
     n = getattr(df, "_weft_rows", None)
@@ -92,6 +104,17 @@ def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
     return n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
+def numbered(df: DataFrame, order: str, name: str, size: str | None = None) -> DataFrame:
+    """``df`` with the position 0, 1, ... of each row in an order (or the sum of ``size`` over the rows before it), without a sort in one task: range partitions are summed, and each begins where
+    those before it end."""
+    parts = spill(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    each = F.col(size) if size else F.lit(1)
+    totals = parts.groupBy("_part").agg(F.sum(each).alias("_n"))
+    totals = totals.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+    within = F.sum(each).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - each
+    return parts.join(F.broadcast(totals.select("_part", "_before")), "_part").withColumn(name, within + F.col("_before")).drop("_part", "_before")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of salts for hot groups: one for each shuffle partition."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
