@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,32 +34,52 @@ def geodistance(lat1, lon1, lat2, lon2) -> Column:
     return F.when(s == 0, F.lit(0.0)).otherwise(WGS84_A * (s - WGS84_F / 2 * (F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))))
 
 
+_LAMBERT = f"""element_at(transform(transform(array(named_struct('b1', atan((1 - {WGS84_F!r}D) * tan(radians(lat1))), 'b2', atan((1 - {WGS84_F!r}D) * tan(radians(lat2))), 'dl', radians(lon2 - lon1))),
+  t -> named_struct('p', (t.b1 + t.b2) / 2, 'q', (t.b2 - t.b1) / 2, 's', 2 * asin(least(1.0D, sqrt(pow(sin((t.b2 - t.b1) / 2), 2) + cos(t.b1) * cos(t.b2) * pow(sin(t.dl / 2), 2)))))),
+  u -> if(u.s = 0, 0.0D, {WGS84_A!r}D * (u.s - {WGS84_F / 2!r}D * (
+    coalesce(try_divide((u.s - sin(u.s)) * pow(sin(u.p), 2) * pow(cos(u.q), 2), pow(cos(u.s / 2), 2)), 0.0D) + coalesce(try_divide((u.s + sin(u.s)) * pow(cos(u.p), 2) * pow(sin(u.q), 2), pow(sin(u.s / 2), 2)), 0.0D))))), 1)"""
 #: SQL text of the registered functions; ``hash`` takes the place of Spark's own.
 SQL_FUNCTIONS = {
     "hash": ("s STRING, salt STRING", "STRING", "upper(sha2(concat(s, salt), 256))"),
     "string_intersect": ("a ARRAY<STRING>, b ARRAY<STRING>", "ARRAY<STRING>", "filter(a, x -> array_contains(b, x))"),
-    "geodistance": (
-        "lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE", "DOUBLE",
-        "12742017.6 * asin(least(1.0D, sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))))",
-    ),
+    "geodistance": ("lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE", "DOUBLE", _LAMBERT),
 }
+_LITERAL = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|--[^\n]*|/\*.*?\*/""", re.S)
 
 
 def register(spark: SparkSession) -> None:
-    """Register the scalar functions in the session. The SQL form of geodistance is the haversine on the mean sphere (within 0.5 %).
-
-    ``most_common`` is the aggregate ``mode(x, true)`` in SQL; ties there take the smaller text, in
-    :mod:`aggregators` the larger.
-    """
+    """Register the scalar functions in the session, by the formulas of their Column forms. The aggregate ``most_common`` is put in place by :func:`rewritten`."""
     for name, (args, kind, body) in SQL_FUNCTIONS.items():
         if name != "hash":
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
 
 
-def rewritten(query: str) -> str:
-    """A query in which ``hash(text, salt)`` means :func:`salted_hash` and file and reflection escapes are refused."""
-    import re
+def _hidden(query: str) -> tuple[str, list[str]]:
+    """The query with its literals and comments as numbered marks, and these."""
+    kept: list[str] = []
+
+    def hide(m: re.Match) -> str:
+        kept.append(m.group(0))
+        return f"\x00{len(kept) - 1}\x00"
+
+    return _LITERAL.sub(hide, query), kept
 
-    if re.search(r"\b(java_method|reflect|try_reflect)\s*\(", query, re.I) or re.search(r"\b(csv|json|parquet|orc|text|avro|binaryFile|delta)\s*\.\s*`", query, re.I):
+
+def _most_common(query: str) -> str:
+    """``most_common(x)`` as the most frequent value, ties to the larger."""
+    while m := re.search(r"\bmost_common\s*\(", query, re.I):
+        depth, end = 1, m.end()
+        while depth and end < len(query):
+            depth += {"(": 1, ")": -1}.get(query[end], 0)
+            end += 1
+        query = f"{query[: m.start()]}mode() WITHIN GROUP (ORDER BY {query[m.end() : end - 1]} DESC){query[end:]}"
+    return query
+
+
+def rewritten(query: str) -> str:
+    """A query in which ``hash(text, salt)`` means :func:`salted_hash` and ``most_common`` is an aggregate, and file and reflection escapes are refused. Literals and comments stay as they are."""
+    text, kept = _hidden(query)
+    if re.search(r"\b(java_method|reflect|try_reflect)\s*\(", text, re.I) or re.search(r"\b(csv|json|parquet|orc|text|avro|binaryFile|delta)\s*\.\s*`", text, re.I):
         raise ValueError("reflection and direct file access are not allowed in queries")
-    return re.sub(r"\bhash\s*\(", "weft_hash(", query, flags=re.I)
+    text = _most_common(re.sub(r"\bhash\s*\(", "weft_hash(", text, flags=re.I))
+    return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], text)

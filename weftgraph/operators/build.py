@@ -77,6 +77,34 @@ def example_graph(spark: SparkSession) -> Graph:
     return Graph(v, spark.createDataFrame(links, "eid bigint, src bigint, dst bigint, comment string, weight double"), {"greeting": "Hello world!"})
 
 
+def enhanced_example_graph(spark: SparkSession) -> Graph:
+    """Eight beings and nineteen edges with loops and parallels (fixed values)."""
+    singapore = [1.352083, 103.819836]
+    beings = [
+        (0, "Adam", 20.3, "Male", 1000.0, [40.71448, -74.00598]), (1, "Eve", 18.2, "Female", None, [47.5269674, 19.0323968]), (2, "Bob", 50.3, "Male", None, singapore), (3, "Isolated Joe", 2.0, "Male", 2000.0, [-33.8674869, 151.2069902]),
+        (4, "Cat", 12.0, "Female", None, singapore), (5, "Fish", 5.0, "Female", None, singapore), (6, "Mouse", 41.0, "Male", None, singapore), (7, "Wanda", 26.1, "Female", None, [3.1412, 101.68653]),
+    ]
+    links = [
+        (0, 1, "Adam loves Eve"), (1, 0, "Eve loves Adam"), (2, 0, "Bob envies Adam"), (2, 1, "Bob loves Eve"), (2, 2, "Bob hates himself"), (2, 4, "Bob doesn't see the cat"), (2, 5, "Bob owns the fish"), (2, 5, "Bob feeds the fish"),
+        (2, 5, "Bob complains to the fish"), (5, 2, "The fish understands Bob"), (5, 2, "The fish helps Bob"), (5, 4, "The fish summons the cat"), (5, 4, "The fish mesmerizes the cat"), (5, 4, "The fish controls the cat"),
+        (4, 5, "The cat obeys the fish"), (4, 2, "The cat distracts Bob's attention"), (4, 2, "The cat steals Bob's phone"), (6, 4, "The mouse sees the cat"), (5, 7, "The fish calls Wanda"),
+    ]
+    v = spark.createDataFrame(beings, "id bigint, name string, age double, gender string, income double, location array<double>")
+    e = spark.createDataFrame([(k, a, b, c, float(k)) for k, (a, b, c) in enumerate(links)], "eid bigint, src bigint, dst bigint, comment string, weight double")
+    return Graph(v, e, {"greeting": "Hello world! 😀 "})
+
+
+def karate_club(spark: SparkSession) -> Graph:
+    """Zachary's karate club (1977): 34 members and 78 friendships, numbered from 0 (fixed values)."""
+    friends = {
+        1: (2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 18, 20, 22, 32), 2: (3, 4, 8, 14, 18, 20, 22, 31), 3: (4, 8, 9, 10, 14, 28, 29, 33), 4: (8, 13, 14), 5: (7, 11), 6: (7, 11, 17), 7: (17,),
+        9: (31, 33, 34), 10: (34,), 14: (34,), 15: (33, 34), 16: (33, 34), 19: (33, 34), 20: (34,), 21: (33, 34), 23: (33, 34), 24: (26, 28, 30, 33, 34), 25: (26, 28, 32), 26: (32,),
+        27: (30, 34), 28: (34,), 29: (32, 34), 30: (33, 34), 31: (33, 34), 32: (33, 34), 33: (34,),
+    }
+    links = [(a - 1, b - 1) for a, near in friends.items() for b in near]
+    return create_vertices(spark, 34).with_edges(spark.createDataFrame([(k, *x) for k, x in enumerate(links)], "eid bigint, src bigint, dst bigint"))
+
+
 def create_graph_in_python(spark: SparkSession, build: Callable, **scalars: object) -> Graph:
     """A user function giving pandas frames ``vs`` and ``es`` (columns src and dst, positions in vs) on the driver."""
     vs, es = build(**scalars)

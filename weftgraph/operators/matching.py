@@ -14,15 +14,19 @@ from .direction import neighbours
 FIRE_ROWS = 2_000_000
 
 
-def similarities(left: DataFrame, right: DataFrame, candidates: DataFrame, least_overlap: int = 1, least_similarity: float = 0.5, extra_weight: float = 0.0) -> DataFrame:
+def similarities(left: DataFrame, right: DataFrame, candidates: DataFrame, least_overlap: int = 1, least_similarity: float = 0.5, extra_weight: float = 0.0, weighting: str = "InverseInDegree") -> DataFrame:
     """Similarity of candidate pairs by what they are linked to: left, right, similarity, overlap.
 
     ``left`` and ``right`` are (id, other, w) with positive weights. Similarity is the sum over common others of min(lw, rw) * g over
-    that over all others of max(lw, rw) * g, plus ``extra_weight``; g is one over the number of vertices linked to the other.
+    that over all others of max(lw, rw) * g, plus ``extra_weight``. The degree of an other is the number of vertices linked to it; g is the degree (``InDegree``) or
+    one over it (``InverseInDegree``); with ``InverseInDegreeBasedHybrid`` it is that for others of the left and one less that for others that only the right is linked to.
     """
     l_ = left.groupBy("id", "other").agg(F.sum("w").alias("lw")).withColumnRenamed("id", "left")
     r_ = right.groupBy("id", "other").agg(F.sum("w").alias("rw")).withColumnRenamed("id", "right")
-    g = l_.select("other").unionByName(r_.select("other")).groupBy("other").agg((1.0 / F.count(F.lit(1))).alias("g"))
+    degree = l_.select("other").unionByName(r_.select("other")).groupBy("other").agg(F.count(F.lit(1)).cast("double").alias("g"))
+    if weighting == "InverseInDegreeBasedHybrid":
+        return _hybrid(l_, r_, candidates, degree, least_overlap, least_similarity, extra_weight)
+    g = degree.withColumn("g", {"InDegree": F.col("g"), "InverseInDegree": 1 / F.col("g")}[weighting])
     l_, r_ = l_.join(g, "other"), r_.join(g, "other")
     lsum = l_.groupBy("left").agg(F.sum(F.col("lw") * F.col("g")).alias("ls"))
     rsum = r_.groupBy("right").agg(F.sum(F.col("rw") * F.col("g")).alias("rs"))
@@ -35,6 +39,21 @@ def similarities(left: DataFrame, right: DataFrame, candidates: DataFrame, least
     return out.select("left", "right", value.alias("similarity"), "overlap").where(F.col("similarity") >= least_similarity)
 
 
+def _hybrid(left: DataFrame, right: DataFrame, candidates: DataFrame, degree: DataFrame, least_overlap: int, least_similarity: float, extra_weight: float) -> DataFrame:
+    """:func:`similarities` where the weight of an other depends on the side: sums over the left's others, and over those of the right alone."""
+    g = degree.withColumn("g", F.least(F.lit(1.0), 1 / F.col("g")))
+    l_, r_ = left.join(g, "other"), right.join(g, "other")
+    common = candidates.select("left", "right").distinct().join(l_, "left").join(r_.drop("g"), ["right", "other"]).groupBy("left", "right").agg(
+        F.sum(F.least("lw", "rw") * F.col("g")).alias("same"), F.sum(F.greatest("lw", "rw") * F.col("g")).alias("most"),
+        F.sum(F.col("lw") * F.col("g")).alias("lc"), F.sum(F.col("rw") * (1 - F.col("g"))).alias("rc"), F.count(F.lit(1)).alias("overlap"),
+    )
+    lsum = l_.groupBy("left").agg(F.sum(F.col("lw") * F.col("g")).alias("ls"))
+    rsum = r_.groupBy("right").agg(F.sum(F.col("rw") * (1 - F.col("g"))).alias("rs"))
+    out = common.where(F.col("overlap") >= least_overlap).join(lsum, "left").join(rsum, "right")
+    value = F.try_divide("same", F.col("most") + (F.col("ls") - F.col("lc")) + (F.col("rs") - F.col("rc")) + extra_weight)
+    return out.select("left", "right", value.alias("similarity"), "overlap").where(F.col("similarity") >= least_similarity)
+
+
 def stable_matching(pairs: DataFrame) -> DataFrame:
     """left, right, similarity of the stable matching: in each round, pairs that are each other's best are matched and leave. Ties by ids."""
     left = spill(pairs.select("left", "right", "similarity"))
@@ -49,7 +68,7 @@ def stable_matching(pairs: DataFrame) -> DataFrame:
     return done if done is not None else left
 
 
-def fingerprint(g: Graph, left_name: str, right_name: str, weight: str | None = None, least_overlap: int = 1, least_similarity: float = 0.5, extra_weight: float = 0.0) -> Graph:
+def fingerprint(g: Graph, left_name: str, right_name: str, weight: str | None = None, least_overlap: int = 1, least_similarity: float = 0.5, extra_weight: float = 0.0, weighting: str = "InverseInDegree") -> Graph:
     """Match vertices that have only one of two names by the neighbours they share; both then have both names and ``<name>_similarity_score``.
 
     Neighbours that have both names count as common ground, and vertices with one name are compared only over a common neighbour.
@@ -60,7 +79,7 @@ def fingerprint(g: Graph, left_name: str, right_name: str, weight: str | None =
     ls = links.join(names.where("_l is not null and _r is null").select("id"), "id", "left_semi").select("id", "other", "w")
     rs = links.join(names.where("_r is not null and _l is null").select("id"), "id", "left_semi").select("id", "other", "w")
     candidates = ls.select(F.col("id").alias("left"), "other").join(rs.select(F.col("id").alias("right"), "other"), "other").select("left", "right")
-    found = stable_matching(similarities(ls, rs, candidates, least_overlap, least_similarity, extra_weight))
+    found = stable_matching(similarities(ls, rs, candidates, least_overlap, least_similarity, extra_weight, weighting))
     known = found.join(names.select(F.col("id").alias("left"), "_l"), "left").join(names.select(F.col("id").alias("right"), "_r"), "right")
     gained = known.select(F.inline(F.array(
         F.struct(F.col("left").alias("id"), F.col("_l").alias("_nl"), F.col("_r").alias("_nr"), F.col("similarity")),
@@ -70,7 +89,7 @@ def fingerprint(g: Graph, left_name: str, right_name: str, weight: str | None =
     return g.with_vertices(v.withColumn(f"{left_name}_similarity_score", F.col("similarity")).withColumn(f"{right_name}_similarity_score", F.col("similarity")).drop("_nl", "_nr", "similarity"))
 
 
-def link_by_fingerprint(g: Graph, name: str, least_overlap: int = 1, least_similarity: float = 0.0, extra_weight: float = 0.0) -> Graph:
+def link_by_fingerprint(g: Graph, name: str, least_overlap: int = 1, least_similarity: float = 0.0, extra_weight: float = 0.0, weighting: str = "InverseInDegree") -> Graph:
     """Link base and segmentation vertices by how their neighbourhoods agree under the links there are so far."""
     from dataclasses import replace
 
@@ -82,7 +101,7 @@ def link_by_fingerprint(g: Graph, name: str, least_overlap: int = 1, least_simil
     left = left.join(known.select(F.col("vid").alias("id")), "id", "left_anti")
     right = seg.join(known.select(F.col("sid").alias("id")), "id", "left_anti")
     candidates = left.select(F.col("id").alias("left"), "other").join(right.select(F.col("id").alias("right"), "other"), "other").select("left", "right")
-    found = stable_matching(similarities(left, right, candidates, least_overlap, least_similarity, extra_weight))
+    found = stable_matching(similarities(left, right, candidates, least_overlap, least_similarity, extra_weight, weighting))
     more = found.select(F.col("left").alias("vid"), F.col("right").alias("sid"))
     out = g.with_segmentation(name, replace(s, membership=known.unionByName(more)))
     return out.with_vertex_values(found.select(F.col("left").alias("id"), F.col("similarity").alias(f"{name}_similarity_score")))

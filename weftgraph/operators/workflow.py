@@ -168,18 +168,45 @@ def lookup_region(g: Graph, position: str, regions: Mapping[str, Sequence[tuple[
     return g.with_vertices(g.vertices.withColumn(output, F.when(F.col(position).isNotNull(), value)))
 
 
+def _to_side(lat: Column, lon: Column, a: tuple[float, float], b: tuple[float, float]) -> Column:
+    """Metres to the nearest point of a side of a polygon: the foot of the perpendicular in the plane of degrees, longitudes being shortened as at the point's latitude."""
+    k = F.cos(F.radians(lat))
+    x, y = (lon - a[1]) * k, lat - a[0]
+    dx, dy = F.lit(b[1] - a[1]) * k, F.lit(b[0] - a[0])
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(x * dx + y * dy, dx * dx + dy * dy))), F.lit(0.0))
+    return geodistance(lat, lon, F.lit(a[0]) + t * (b[0] - a[0]), F.lit(a[1]) + t * (b[1] - a[1]))
+
+
 def segment_by_region(g: Graph, position: str, regions: Mapping[str, Sequence[tuple[float, float]]], distance: float = 0.0, name: str = "regions") -> Graph:
-    """Vertices in each polygon, or within ``distance`` metres of one of its corners."""
+    """Vertices in each polygon, or within ``distance`` metres of its border."""
     from .segment import _from_keys
 
     lat, lon = F.col(position)[0], F.col(position)[1]
 
     def near(ring):
         test = _inside(lat, lon, ring)
-        for a, o in ring if distance else ():
-            test = test | (geodistance(lat, lon, F.lit(float(a)), F.lit(float(o))) <= distance)
+        for a, b in zip(ring, [*ring[1:], ring[0]]) if distance else ():
+            test = test | (_to_side(lat, lon, tuple(map(float, a)), tuple(map(float, b))) <= distance)
         return test
 
     hits = F.array_compact(F.array(*(F.when(near(ring), F.lit(n)) for n, ring in regions.items())))
     links = g.vertices.where(F.col(position).isNotNull()).select(F.col("id").alias("vid"), F.explode(hits).alias("region"))
     return _from_keys(g, name, links, ["region"], True)
+
+
+def read_regions(path: str, name: str) -> dict[str, list[tuple[float, float]]]:
+    """The outer rings of a GeoJSON file of polygons and multipolygons, by a property: region -> (lat, lon) corners. Several rings of a name are numbered from the second on. A file of regions is small; it is read on the driver."""
+    import json
+
+    out: dict[str, list[tuple[float, float]]] = {}
+    with open(path.removeprefix("file://"), encoding="utf-8") as f:
+        features = json.load(f)["features"]
+    for feature in features:
+        shape, label = feature["geometry"], str(feature["properties"][name])
+        for polygon in [shape["coordinates"]] if shape["type"] == "Polygon" else shape["coordinates"] if shape["type"] == "MultiPolygon" else []:
+            key, k = label, 1
+            while key in out:
+                k += 1
+                key = f"{label} ({k})"
+            out[key] = [(float(y), float(x)) for x, y, *_ in polygon[0][:-1]]
+    return out

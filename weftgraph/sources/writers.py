@@ -35,8 +35,10 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "error if exists
     df.write.jdbc(url, table, MODES[mode], properties or {})
 
 
-def write_hive(df: DataFrame, table: str, mode: str = "error if exists", partition_by: Sequence[str] = ()) -> None:
+def write_hive(df: DataFrame, table: str, mode: str = "error if exists", partition_by: Sequence[str] = (), path: str | None = None) -> None:
+    """A table of the catalog; with a ``path`` its files lie there."""
     w = df.write.mode(MODES[mode])
+    w = w.option("path", path) if path else w
     (w.partitionBy(*partition_by) if partition_by else w).saveAsTable(table)
 
 
