@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes that a side may have at most to be broadcast by :func:`split_join`, which counts them before.
@@ -32,20 +32,16 @@ def spill(df: DataFrame, **observed: Column) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()``, but computes the plan only once, stores it
-    compressed by column, and survives the loss of executors. ``observed`` are aggregates taken while writing; their values are
-    in the ``seen`` of the result.
+    compressed by column, and survives the loss of executors. ``observed`` are aggregates of the
+    written table; their values are in the ``seen`` of the result. (Observations taken while writing would make the session unfit for some models of Spark's library.)
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftgraph/{uuid.uuid4().hex}"
-    if observed:
-        watch = Observation()
-        df.observe(watch, *(c.alias(n) for n, c in observed.items())).write.parquet(path)
-    else:
-        df.write.parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     if observed:
-        out.seen = watch.get
+        out.seen = out.agg(*(c.alias(n) for n, c in observed.items())).first().asDict()
     if _scopes:
         _scopes[-1].append((spark, path))
     return out
