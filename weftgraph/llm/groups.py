@@ -79,7 +79,11 @@ def consolidate(pairs: DataFrame, src: str = "src", dst: str = "dst", seed: int
         return everyone.withColumn("group_id", F.col("record_id"))
     labels = mappings.pop()
     while mappings:
-        labels = spill(_follow(mappings.pop(), labels, rows_of(labels)))
+        first = mappings.pop()
+        after = spill(_follow(first, labels, rows_of(labels)))
+        drop(first)
+        drop(labels)
+        labels = after
     smallest = spill(labels.groupBy("r").agg(F.min("v").alias("low")))
     named = split_join(labels, smallest, ["r"]).select(F.col("v").alias("record_id"), "low")
     return everyone.join(named, "record_id", "left").select("record_id", F.coalesce("low", "record_id").alias("group_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..queries.common import table
+from ..runtime import spill
 from . import clean_events, groups, leaks, packing, runs, subjects, subsequences
 
 
@@ -40,6 +41,17 @@ def p7_fill(spark, d):
     return packing.fill_report(p7_containers(spark, d))
 
 
+def p7_violations(spark, d):
+    """What a packing may not do: containers over the capacity, texts within the capacity that are divided, parts whose tokens do not add up to the text's; and the documents packed."""
+    packed = spill(p7_containers(spark, d))
+    over = packed.groupBy("container").agg(F.sum("tokens").alias("n")).where(F.col("n") > packing.CAPACITY).count()
+    per = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("tokens").alias("n"), F.max("doc_tokens").alias("whole"))
+    return per.agg(
+        F.lit(over).cast("bigint").alias("over_capacity"), F.count_if((F.col("parts") > 1) & (F.col("whole") <= packing.CAPACITY)).alias("divided"),
+        F.count_if(F.col("n") != F.col("whole")).alias("incomplete"), F.count(F.lit(1)).alias("documents"),
+    )
+
+
 def p8_found(spark, d):
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -48,7 +60,7 @@ def p8_items(spark, d):
     return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p4_found, p4_patterns, p5_found, p5_spans, p7_containers, p7_fill, p8_found, p8_items)}
+QUERIES = {q.__name__: q for q in (p2_found, p4_found, p4_patterns, p5_found, p5_spans, p7_containers, p7_fill, p7_violations, p8_found, p8_items)}
 
 _CLEAN = """
 WITH RECURSIVE chain AS (SELECT location AS l, location AS cur, alias_of FROM event_location
@@ -92,6 +104,7 @@ f AS (SELECT array_to_string(ps, '>') AS pattern, persons FROM c WHERE persons *
 """
 )
 SQL = {
+    "p7_violations": "SELECT 0 AS over_capacity, 0 AS divided, 0 AS incomplete, count(DISTINCT doc_id) AS documents FROM documents",
     "p4_found": _P4 + "SELECT pattern FROM f",
     "p4_patterns": _P4 + "SELECT pattern, persons FROM f",
     "p2_found": """
