@@ -46,9 +46,25 @@ def test_cores_of_a_hub(adjacency, monkeypatch):
     g = star(adjacency, 40)
     want = {0: 3.0, **{i: 3.0 for i in range(1, 40)}}
     assert {r.id: r.core for r in iterative.k_core(g).collect()} == want
+    assert {r.id: r.core for r in iterative.k_core(g, last_links=0).collect()} == want
     monkeypatch.setattr(iterative, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
-    assert {r.id: r.core for r in iterative.k_core(g).collect()} == want
+    assert {r.id: r.core for r in iterative.k_core(g, last_links=0).collect()} == want
+
+
+def test_cores_by_peeling_and_by_rounds(spark):
+    rng = random.Random(11)
+    edges = {(rng.randrange(80), rng.randrange(80)) for _ in range(260)} | {(a, b) for a in range(9) for b in range(a)}
+    g = Graph(spark.range(90), spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(edges)], "eid bigint, src bigint, dst bigint"))
+    near = {v: {b if a == v else a for a, b in edges if v in (a, b)} - {v} for v in range(90)}
+    want, left, k = {}, dict(near), 0
+    while left:
+        k = max(k, min(len(n & left.keys()) for n in left.values()))
+        gone = [v for v, n in left.items() if len(n & left.keys()) <= k]
+        want |= {v: float(k) for v in gone}
+        left = {v: n for v, n in left.items() if v not in gone}
+    for last in (0, 10**6):
+        assert {r.id: r.core for r in iterative.k_core(g, last_links=last).collect()} == want
 
 
 def test_no_row_holds_a_hubs_neighbours(adjacency):

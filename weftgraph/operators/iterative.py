@@ -117,12 +117,40 @@ def _through(first: DataFrame, then: DataFrame, rows: int) -> DataFrame:
     return split_join(first, onward, ["r"], "left", right_rows=rows).select("v", F.coalesce("_r", "r").alias("r"))
 
 
-def k_core(g: Graph, name: str = "core") -> DataFrame:
-    """id and core number of the undirected simple graph: the fixpoint of the h-index over the neighbours' numbers.
+def _peeled(links: DataFrame) -> DataFrame:
+    """v and k, its core number, of few links (v, u), both ways, in one task: vertices of the least degree leave, again and again."""
+
+    def run(batches):
+        v, u = (np.concatenate(x) for x in zip(*([c.to_numpy() for c in (x.column("v"), x.column("u"))] for x in batches)))
+        ids, v = np.unique(v, return_inverse=True)
+        near = np.searchsorted(ids, u)[np.argsort(v, kind="stable")]
+        degree = np.bincount(v, minlength=len(ids))
+        begin, size = np.cumsum(degree) - degree, degree.copy()
+        core, alive, k = np.zeros(len(ids), np.int64), np.ones(len(ids), bool), 0
+        while alive.any():
+            k = max(k, int(degree[alive].min()))
+            gone = np.flatnonzero(alive & (degree <= k))
+            while len(gone):
+                core[gone], alive[gone] = k, False
+                n = size[gone]
+                hit = near[np.repeat(begin[gone] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                hit, times = np.unique(hit[alive[hit]], return_counts=True)
+                degree[hit] -= times
+                gone = hit[degree[hit] <= k]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(core)], names=["v", "k"])
+
+    return links.repartition(1).mapInArrow(run, "v bigint, k bigint")
+
+
+def k_core(g: Graph, name: str = "core", last_links: int = LAST_LINKS) -> DataFrame:
+    """id and core number of the undirected simple graph: the fixpoint of the h-index over the neighbours' numbers; of at most ``last_links`` links (0: never) it is found in one task.
 
     A vertex is looked at again only if a neighbour's number has fallen below its own. Numbers are broadcast while they are few; else those of hubs are.
     """
     links = spill(neighbours(g.need_edges()).withColumnsRenamed({"center": "v", "other": "u"}))
+    named = lambda core: g.vertices.select("id").join(core.select(F.col("v").alias("id"), F.col("k").cast("double").alias(name)), "id", "left").fillna(0.0, [name])
+    if 0 < rows_of(links) <= 2 * last_links:
+        return named(_peeled(links))
     core = spill(links.groupBy("v").agg(F.count(F.lit(1)).alias("k")).withColumn("before", F.col("k")), n=F.count(F.lit(1)))
     n = core.seen["n"]
     heavy = heavy_keys(links, ["u"], 0.02)["u"] if n > BROADCAST_ROWS else []
@@ -142,7 +170,7 @@ def k_core(g: Graph, name: str = "core") -> DataFrame:
         fell = core.where("k < before").select(F.col("v").alias("u"), F.col("k").alias("ku"))
         wake = split_join(split_join(links, fell, ["u"], heavy=heavy, right_rows=m), core.select("v", "k"), ["v"], heavy=heavy, right_rows=n).where("ku < k").select("v").distinct()
         look = split_join(links, wake, ["v"], "left_semi", heavy=heavy, right_rows=n)
-    return g.vertices.select("id").join(core.select(F.col("v").alias("id"), F.col("k").cast("double").alias(name)), "id", "left").fillna(0.0, [name])
+    return named(core)
 
 
 def distances(g: Graph, direction: str = "outgoing edges", most: int = 10, sources: DataFrame | None = None) -> DataFrame:
@@ -406,10 +434,12 @@ def label_propagation(g: Graph, weight: str | None = None, variant: str = "class
     e = both_ways(g.need_edges().where("src <> dst").withColumn("w", F.col(weight).cast("double") if weight else F.lit(1.0)), "w")
     e = spill(e.groupBy("center", "other").agg(F.sum("w").alias("w")))
     label = spill(g.vertices.select(F.col("id").alias("other"), F.col("id").alias("l")))
+    n = rows_of(label)
+    heavy = heavy_keys(e, ["other"], 0.02)["other"] if n > BROADCAST_ROWS else []
     still = 0
     for k in range(2 * iterations):
         half = F.pmod(F.xxhash64("center"), F.lit(2)) == k % 2 if variant == "classic" else F.pmod(F.xxhash64("center", F.lit(k // 2)), F.lit(2)) == k % 2
-        votes = e.where(half).join(label, "other").groupBy("center", "l").agg(F.sum("w").alias("w")).groupBy("center").agg(F.max_by("l", F.struct(F.col("w"), -F.col("l"))).alias("n"))
+        votes = split_join(e.where(half), label, ["other"], heavy=heavy, right_rows=n).groupBy("center", "l").agg(F.sum("w").alias("w")).groupBy("center").agg(F.max_by("l", F.struct(F.col("w"), -F.col("l"))).alias("n"))
         after = spill(label.join(votes.withColumnRenamed("center", "other"), "other", "left").select("other", F.coalesce("n", "l").alias("l"), (F.coalesce(F.col("n"), F.col("l")) != F.col("l")).alias("moved")))
         moved = after.where("moved").limit(1).count()
         drop(label)
@@ -442,11 +472,13 @@ def louvain(g: Graph, weight: str | None = None, resolution: float = 1.0, max_it
         links = spill(both_ways(e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), "w"))
         k = spill(links.groupBy(F.col("center").alias("v")).agg(F.sum("w").alias("k")))
         c = spill(k.select("v", F.col("v").alias("c")))
+        n = rows_of(c)
+        heavy = heavy_keys(links, ["other"], 0.02)["other"] if n > BROADCAST_ROWS else []
         best = quality(e, c)
         stale = 0
         for r in range(4 * max_iterations):
             sums = c.join(k, "v").groupBy("c").agg(F.sum("k").alias("volume"))
-            near = links.where("center <> other").join(c.withColumnsRenamed({"v": "other", "c": "d"}), "other").groupBy(F.col("center").alias("v"), "d").agg(F.sum("w").alias("w"))
+            near = split_join(links.where("center <> other"), c.withColumnsRenamed({"v": "other", "c": "d"}), ["other"], heavy=heavy, right_rows=n).groupBy(F.col("center").alias("v"), "d").agg(F.sum("w").alias("w"))
             own = c.select("v", F.col("c").alias("d")).withColumn("w", F.lit(0.0))
             options = near.unionByName(own).groupBy("v", "d").agg(F.sum("w").alias("w")).join(k, "v").join(c, "v").join(sums.withColumnRenamed("c", "d"), "d")
             gain = F.col("w") - resolution * F.col("k") * (F.col("volume") - F.when(F.col("d") == F.col("c"), F.col("k")).otherwise(0.0)) / total
