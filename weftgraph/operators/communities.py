@@ -106,6 +106,9 @@ def find_louvain_communities(g: Graph, weight: str | None = None, resolution: fl
 
 
 def find_modular_clustering(g: Graph, weight: str | None = None, max_iterations: int = 30, least_gain: float = 0.001, name: str = "modular_clusters") -> Graph:
-    """Clusters by greedy moves that raise modularity; also the scalar ``modularity``."""
-    out = from_labels(g, name, spill(iterative.louvain(g, weight, 1.0, max_iterations, least_gain)))
+    """Clusters by greedy moves and merges that raise modularity; also the scalar ``modularity``.
+
+    It ends when the last five rounds gained at most five times ``least_gain``, or after ``max_iterations`` rounds (negative: no limit).
+    """
+    out = from_labels(g, name, spill(iterative.louvain(g, weight, 1.0, max_iterations, least_gain, 5)))
     return out.with_scalars(modularity=metrics.modularity(out, name, weight).first()[0])

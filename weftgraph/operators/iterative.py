@@ -187,6 +187,22 @@ def distances(g: Graph, direction: str = "outgoing edges", most: int = 10, sourc
     return seen
 
 
+def distances_by_length(g: Graph, length: str | None, sources: DataFrame, direction: str = "all edges") -> DataFrame:
+    """Least sums of a positive edge attribute from few sources to all vertices: source, id, d (double). Exact: only pairs that came nearer in a round relax their edges in the next. Edges without a length do not count."""
+    e = g.need_edges()
+    step = pairs(e.where(F.col(length).isNotNull()) if length else e, direction, length).select("center", "other", (F.col(length).cast("double") if length else F.lit(1.0)).alias("w")).where("center <> other")
+    step = spill(step.groupBy("center", "other").agg(F.min("w").alias("w")))
+    new = F.count_if("new")
+    best = spill(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("d"), F.lit(True).alias("new")), n=new)
+    while best.seen["n"]:
+        moved = best.where("new").select("source", F.col("id").alias("center"), "d").join(step, "center").groupBy("source", F.col("other").alias("id")).agg(F.min(F.col("d") + F.col("w")).alias("n"))
+        after = best.drop("new").join(moved, ["source", "id"], "full").select("source", "id", F.least("d", "n").alias("d"), F.coalesce(F.col("n") < F.col("d"), F.col("d").isNull()).alias("new"))
+        after = spill(after, n=new)
+        drop(best)
+        best = after
+    return best.drop("new")
+
+
 def _reach(g: Graph, direction: str, most: int, bits: int | None):
     """For every hop count the number of vertices that reach each vertex: id, d, size. Exact sets or HLL sketches of ``bits``."""
     step = spill(pairs(g.need_edges(), direction).where("center <> other").distinct())
@@ -450,10 +466,11 @@ def label_propagation(g: Graph, weight: str | None = None, variant: str = "class
     return label.select(F.col("other").alias("id"), F.col("l").alias("label"))
 
 
-def louvain(g: Graph, weight: str | None = None, resolution: float = 1.0, max_iterations: int = 10, least_gain: float = 1e-3) -> DataFrame:
+def louvain(g: Graph, weight: str | None = None, resolution: float = 1.0, max_iterations: int = 10, least_gain: float = 1e-3, last: int = 0) -> DataFrame:
     """id and label of communities found by rounds of local moves and contraction; edges are undirected, loops weigh double.
 
-    Moves are proposed for a random half of the vertices at a time. A round of moves is kept only if it raises modularity.
+    Moves are proposed for a random half of the vertices at a time. A round of moves is kept only if it raises modularity. With ``last`` (as in modular clustering) all ends
+    when the last so many rounds gained at most ``least_gain`` each on average, or after ``max_iterations`` rounds (negative: no limit); else each level ends after three rounds of little gain.
     """
     e = g.need_edges().select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
     e = spill(e.groupBy("a", "b").agg(F.sum("w").alias("w")))
@@ -467,8 +484,8 @@ def louvain(g: Graph, weight: str | None = None, resolution: float = 1.0, max_it
         per = x.select("w", F.inline(F.array(F.struct(F.col("s").alias("c")), F.struct(F.col("t").alias("c")))), (F.col("s") == F.col("t")).alias("i")).groupBy("c").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("i"), F.col("w")).otherwise(0.0)).alias("i"))
         return per.agg(F.sum(F.col("i") / total - resolution * (F.col("k") / total) ** 2)).first()[0] or 0.0
 
-    before = -1.0
-    for level in range(max_iterations):
+    before, gains, ended = -1.0, [], False
+    for level in count() if last else range(max_iterations):
         links = spill(both_ways(e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), "w"))
         k = spill(links.groupBy(F.col("center").alias("v")).agg(F.sum("w").alias("k")))
         c = spill(k.select("v", F.col("v").alias("c")))
@@ -476,7 +493,7 @@ def louvain(g: Graph, weight: str | None = None, resolution: float = 1.0, max_it
         heavy = heavy_keys(links, ["other"], 0.02)["other"] if n > BROADCAST_ROWS else []
         best = quality(e, c)
         stale = 0
-        for r in range(4 * max_iterations):
+        for r in count() if last else range(4 * max_iterations):
             sums = c.join(k, "v").groupBy("c").agg(F.sum("k").alias("volume"))
             near = split_join(links.where("center <> other"), c.withColumnsRenamed({"v": "other", "c": "d"}), ["other"], heavy=heavy, right_rows=n).groupBy(F.col("center").alias("v"), "d").agg(F.sum("w").alias("w"))
             own = c.select("v", F.col("c").alias("d")).withColumn("w", F.lit(0.0))
@@ -486,14 +503,16 @@ def louvain(g: Graph, weight: str | None = None, resolution: float = 1.0, max_it
             pick = options.where(turn).groupBy("v").agg(F.max_by("d", F.struct(gain, F.col("d") == F.col("c"), -F.col("d"))).alias("n"))
             moved = spill(c.join(pick, "v", "left").select("v", F.coalesce("n", "c").alias("c")))
             now = quality(e, moved)
+            gains.append(max(0.0, now - best))
+            ended = bool(last) and (len(gains) >= last and sum(gains[-last:]) <= last * least_gain or 0 <= max_iterations <= len(gains))
             if now > best + 1e-9:
                 c, best, stale = moved, now, 0 if now > best + least_gain else stale + 1
             else:
                 stale += 1
-            if stale >= 3:
+            if ended or stale >= 3:
                 break
         assigned = spill(assigned.join(c.withColumnsRenamed({"v": "l", "c": "n"}), "l", "left").select("id", F.coalesce("n", "l").alias("l")))
-        if best <= before + least_gain:
+        if ended or best <= before + least_gain:
             break
         before = best
         x = e.join(c.select(F.col("v").alias("a"), F.col("c").alias("s")), "a").join(c.select(F.col("v").alias("b"), F.col("c").alias("t")), "b")

@@ -210,17 +210,17 @@ def forest_fire_scores(g: Graph, spread: float = 0.99, burn_ratio: float = 10.0,
     return e.select("eid").join(counts, "eid", "left").select("eid", (F.coalesce("n", F.lit(0)) / top).alias(name))
 
 
-def pivot_layout(g: Graph, dimensions: int = 2, pivots: int = 100, name: str = "position") -> DataFrame:
-    """id and position by pivot MDS: hop distances to a bounded number of pivots, centred, projected on their main axes.
+def pivot_layout(g: Graph, dimensions: int = 2, pivots: int = 100, name: str = "position", length: str | None = None) -> DataFrame:
+    """id and position by pivot MDS: distances to a bounded number of pivots (hops, or sums of the edges' ``length``), centred, projected on their main axes.
 
     The distances stay distributed; only the pivots' covariance (pivots x pivots) comes to the driver.
     """
     import numpy as np
 
-    from .iterative import distances
+    from .iterative import distances, distances_by_length
 
     chosen = g.vertices.select("id").orderBy(F.xxhash64("id"), "id").limit(pivots)
-    d = distances(g, "all edges", 10**6, chosen)
+    d = spill(distances_by_length(g, length, chosen) if length else distances(g, "all edges", 10**6, chosen))
     ids = [int(r.source) for r in d.select("source").distinct().orderBy("source").collect()]
     far = float((d.agg(F.max("d")).first()[0] or 0) + 1)
     wide = g.vertices.select("id").join(d.groupBy("id").pivot("source", ids).agg(F.first("d")), "id", "left").fillna(far)

@@ -657,3 +657,76 @@ def random_edges_keep_their_model(spark, d):
     ends = T.induced_edges(e.edges, g.vertices.select("id", F.col("id").alias("new")), g.vertices.select("id", F.col("id").alias("new"))).count()
     grown = P.count_edges(N.scale_free_edges(g, 4, 1.3, 1)) / (n * 1.3**4)
     return spark.createDataFrame([(ends == k, abs(k / n - 4) < 5 * (16 / 3 / n) ** 0.5 + 0.1, 0.8 < grown < 1.25)], "known_ends boolean, about_four boolean, growing boolean")
+
+
+# The linear ones of those that otherwise run on the 25 nations, on the people
+
+
+def _ages(spark, d):
+    return S.by_number(people(spark, d), "age", 10)
+
+
+_PAIRS = f"WITH {PEOPLE}, {_AGES}, lab AS (SELECT weight AS w, p.bottom AS s, q.bottom AS t FROM e LEFT JOIN b p ON p.id = src LEFT JOIN b q ON q.id = dst)"
+
+
+@query(_PAIRS + """, x AS (SELECT sum(w) AS total FROM lab), o AS (SELECT s AS r, sum(w) AS o FROM lab WHERE s IS NOT NULL GROUP BY 1), i AS (SELECT t AS r, sum(w) AS i FROM lab WHERE t IS NOT NULL GROUP BY 1), b2 AS (SELECT s AS r, sum(w) AS b FROM lab WHERE s = t GROUP BY 1)
+SELECT round(sum(coalesce(b, 0) / total - coalesce(i, 0) * coalesce(o, 0) / (total * total)), 8) AS modularity, (SELECT round(sum(w) FILTER (s = t) / sum(w), 8) FROM lab) AS coverage, (SELECT sum(w) FILTER (coalesce(s <> t, true)) FROM lab) AS edge_cut
+FROM x, o FULL JOIN i ON o.r = i.r LEFT JOIN b2 ON b2.r = coalesce(o.r, i.r)""")
+def modularity_and_cut_of_ages(spark, d):
+    g = _ages(spark, d)
+    both = M.modularity(g, "bucketing", "weight").select(r("modularity", 8).alias("modularity")).withColumn("k", F.lit(1))
+    return both.join(M.segmentation_scalars(g, "bucketing", "weight").select(r("coverage", 8).alias("coverage"), "edge_cut", F.lit(1).alias("k")), "k").drop("k")
+
+
+@query(_PAIRS + """, z AS (SELECT bottom, count(*) AS n FROM b GROUP BY 1), f AS (SELECT w, s AS bottom, coalesce(s = t, false) AS inside, true AS lead FROM lab UNION ALL SELECT w, t, coalesce(s = t, false), false FROM lab),
+a AS (SELECT bottom, count(*) FILTER (inside AND lead) AS k, coalesce(sum(w) FILTER (NOT inside), 0) AS cut, sum(w) AS vol FROM f WHERE bottom IS NOT NULL GROUP BY 1),
+h AS (SELECT x.bottom, nb.a, count(*) FILTER (y.bottom = x.bottom) AS k_in, count(*) FILTER (coalesce(y.bottom <> x.bottom, true)) AS k_out FROM nb JOIN b x ON x.id = nb.a LEFT JOIN b y ON y.id = nb.b GROUP BY 1, 2),
+g AS (SELECT bottom, max(k_in) AS hub, count(*) FILTER (k_in > k_out) AS stable FROM h GROUP BY 1)
+SELECT z.bottom, CAST(n AS DOUBLE) AS size, round(k / (n * (n - 1) / 2.0), 8) AS density, round(cut / least(vol, 2 * (SELECT sum(w) FROM lab) - vol), 6) AS conductance, CAST(cut AS DOUBLE) AS expansion, round(hub / (n - 1.0), 8) AS hub_dominance, round(stable / CAST(n AS DOUBLE), 6) AS stability FROM z JOIN a ON a.bottom = z.bottom JOIN g ON g.bottom = z.bottom WHERE n > 1""")
+def segment_metrics_of_ages(spark, d):
+    g = _ages(spark, d)
+    out = M.segment_metrics(g, "bucketing", "weight").join(g.segmentation("bucketing").graph.vertices.select("id", "bottom"), "id")
+    return out.where("size > 1").select("bottom", "size", r("density", 8).alias("density"), r("conductance", 6).alias("conductance"), "expansion", r("hub_dominance", 8).alias("hub_dominance"), r("stability", 6).alias("stability"))
+
+
+@query(f"""WITH {PEOPLE}, t AS (SELECT x.a AS u, x.b AS v, y.b AS c FROM nb x JOIN nb y ON y.a = x.a JOIN nb z ON z.a = x.b AND z.b = y.b),
+p AS (SELECT s.u, s.v, s.c AS a, q.c AS b FROM t s JOIN t q ON s.u = q.u AND s.v = q.v AND s.c < q.c),
+k AS (SELECT u, v, count(*) AS k FROM p WHERE NOT EXISTS (SELECT 1 FROM nb WHERE nb.a = p.a AND nb.b = p.b)
+  AND NOT EXISTS (SELECT 1 FROM t f JOIN t g ON f.u = g.u AND f.c = g.c WHERE f.u = p.u AND f.v = p.a AND g.v = p.b AND f.c <> p.v) GROUP BY 1, 2)
+SELECT eid, CAST(coalesce(k, 0) AS DOUBLE) AS dispersion FROM e LEFT JOIN k ON k.u = src AND k.v = dst WHERE src <> dst""")
+def dispersion_of_people(spark, d):
+    return M.dispersion(people(spark, d)).select("eid", "dispersion")
+
+
+@query(f"WITH {PEOPLE} SELECT (SELECT count(*) FROM v) AS members, true AS better, true AS modular FROM (SELECT count(*) FROM e)")
+def communities_of_people(spark, d):
+    """Louvain's communities and modular clusters of all people hold every vertex once, with a modularity that chance groups do not have."""
+    g = people(spark, d)
+    found = C.find_louvain_communities(g, "weight")
+    clusters = C.find_modular_clustering(g, "weight")
+    n, m = found.segmentation("communities").membership.agg(F.count_distinct("vid"), F.count(F.lit(1))).first()
+    return spark.createDataFrame([(n if n == m else -1, M.modularity(found, "communities", "weight").first()[0] > 0.2, clusters.scalars["modularity"] > 0.2)], "members bigint, better boolean, modular boolean")
+
+
+@query(f"WITH {PEOPLE} SELECT id, true AS placed FROM v")
+def layout_of_people(spark, d):
+    """Positions by the lengths of the edges, with 100 pivots."""
+    from ..operators import matching as X
+
+    return X.pivot_layout(people(spark, d), 2, 100, length="weight").select("id", ((F.size("position") == 2) & ~F.exists("position", F.isnan)).alias("placed"))
+
+
+@query(f"WITH {PEOPLE} SELECT id, 128 AS numbers FROM v")
+def embedding_of_people(spark, d):
+    """Skip-grams over 10 walks of 20 steps from every vertex, 128 numbers, 5 iterations."""
+    return L.embed_vertices(people(spark, d)).select("id", F.size("embedding").alias("numbers"))
+
+
+_LENGTHS = "".join(f", d{k} AS (SELECT source, id, min(d) AS d FROM (SELECT source, id, d FROM d{k - 1} UNION ALL SELECT source, dst, d + weight FROM d{k - 1} JOIN e ON src = id UNION ALL SELECT source, src, d + weight FROM d{k - 1} JOIN e ON dst = id) GROUP BY 1, 2)" for k in range(1, 13))
+
+
+@query(f"WITH {TRADE}, d0 AS (SELECT id AS source, id, 0.0::DOUBLE AS d FROM v WHERE id < 3){_LENGTHS} SELECT source, id, round(d, 4) AS d FROM d12")
+def distances_by_edge_length(spark, d):
+    """The nations are few, so that twelve rounds of the SQL reach the fixpoint."""
+    g = trade(spark, d)
+    return I.distances_by_length(g, "weight", g.vertices.where("id < 3")).select("source", "id", r("d").alias("d"))
