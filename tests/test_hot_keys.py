@@ -179,3 +179,29 @@ def test_a_wide_side_is_not_broadcast(spark, monkeypatch):
     assert not runtime.fits_broadcast(wide) and runtime.fits_broadcast(wide.select("k"))
     left = spark.createDataFrame([(0 if i % 2 else i,) for i in range(200)], "k bigint")
     assert runtime.split_join(left, wide, ["k"]).count() == left.join(wide, "k").count()
+
+
+def test_diameters_by_bounds(spark):
+    rng = random.Random(13)
+    for n, m, path in ((40, 50, 12), (60, 70, 0), (10, 0, 0)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(n + i, n + i + 1) for i in range(path)]
+        g = Graph(spark.range(n + path + 1), spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(edges)], "eid bigint, src bigint, dst bigint"))
+        near = {v: {b if a == v else a for a, b in edges if v in (a, b)} for v in range(n + path + 1)}
+        longest = 0
+        for v in near:
+            seen, level, d = {v}, {v}, 0
+            while level:
+                longest, level = max(longest, d), {x for y in level for x in near[y]} - seen
+                seen |= level
+                d += 1
+        assert iterative.diameter(g) == (longest, longest)
+        low, high = iterative.diameter(g, 0.5)
+        assert low <= longest <= high <= 1.5 * max(low, 1)
+
+
+def test_mocnik_links_by_each_points_own_reach(spark):
+    g = generate.mocnik(spark, 150, 2, 2.0, 4)
+    at = {r.id: (r.x, r.y) for r in g.vertices.select("id", generate.uniform("id", 400).alias("x"), generate.uniform("id", 401).alias("y")).collect()}
+    far = lambda a, b: ((at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2) ** 0.5
+    want = {(a, b) for a in at for r in [2.0 * min(far(a, b) for b in at if b != a)] for b in at if b != a and far(a, b) <= r * (1 + 1e-12)}
+    assert {(r.src, r.dst) for r in g.edges.collect()} == want

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph, hashed_id
-from ..runtime import numbered, spill
+from ..runtime import numbered, rows_of, spill
 from .attributes import uniform
 from .build import create_vertices
 from .segment import kept_numbers
@@ -208,10 +208,9 @@ def lfr(spark: SparkSession, size: int = 100, avg_degree: float = 3, max_degree:
     return g.with_vertices(g.vertices.join(spark.createDataFrame([(i, float(x)) for i, x in enumerate(label)], "id bigint, community double"), "id"))
 
 
-def _grid_near(points: DataFrame, dims: Sequence[str], radius: float) -> DataFrame:
-    """Ordered pairs of points within the radius: src, dst, dist. Points meet only in their own and neighbouring cells."""
+def _grid_near(points: DataFrame, dims: Sequence[str], radius: float, sources: DataFrame | None = None) -> DataFrame:
+    """Ordered pairs of points within the radius, from all points or from ``sources`` (of the same columns): src, dst, dist. Points meet only in their own and neighbouring cells."""
     cell = F.array(*(F.floor(F.col(d) / radius) for d in dims))
-    p = points.withColumn("_cell", cell)
 
     def with_dimension(cells, i: int):
         side = F.array(*(F.col("_cell")[i] + k for k in (-1, 0, 1)))
@@ -220,8 +219,8 @@ def _grid_near(points: DataFrame, dims: Sequence[str], radius: float) -> DataFra
     around = F.array(F.array().cast("array<bigint>"))
     for i in range(len(dims)):
         around = with_dimension(around, i)
-    a = p.select(F.col("id").alias("src"), *(F.col(d).alias(f"_a_{d}") for d in dims), "_cell")
-    b = p.select(F.col("id").alias("dst"), *(F.col(d).alias(f"_b_{d}") for d in dims), F.explode(around).alias("_cell"))
+    a = (points if sources is None else sources).withColumn("_cell", cell).select(F.col("id").alias("src"), *(F.col(d).alias(f"_a_{d}") for d in dims), F.explode(around).alias("_cell"))
+    b = points.withColumn("_cell", cell).select(F.col("id").alias("dst"), *(F.col(d).alias(f"_b_{d}") for d in dims), "_cell")
     dist = F.sqrt(sum(((F.col(f"_a_{d}") - F.col(f"_b_{d}")) ** 2 for d in dims), F.lit(0.0)))
     return a.join(b, "_cell").where("src <> dst").withColumn("dist", dist).where(F.col("dist") <= radius).select("src", "dst", "dist")
 
@@ -229,23 +228,28 @@ def _grid_near(points: DataFrame, dims: Sequence[str], radius: float) -> DataFra
 def mocnik(spark: SparkSession, size: int = 100, dimension: int = 2, density: float = 2.5, seed: int = 0) -> Graph:
     """Points in the unit cube; each is linked to all within ``density`` times the distance of its nearest neighbour.
 
-    Nearest neighbours are found in cells of about one point; cells are doubled for the points that find none.
+    Nearest neighbours are found in cells of about one point; cells are doubled for the points that find none. Points are then grouped by the
+    doublings that their own reach needs, and each group is joined over cells of its size: a point far out does not widen the search of the others.
     """
     v = create_vertices(spark, size).vertices
     dims = [f"x{i}" for i in range(dimension)]
     points = spill(v.select("id", *(uniform("id", seed * 100 + i).alias(d) for i, d in enumerate(dims))))
-    radius = (1 / max(1, size)) ** (1 / dimension)
+    first = radius = (1 / max(1, size)) ** (1 / dimension)
     near = None
     left = points
-    while left.limit(1).count() and radius < 2 * math.sqrt(dimension):
-        hits = _grid_near(points, dims, radius).join(left.select(F.col("id").alias("src")), "src", "left_semi")
-        found = spill(hits.groupBy("src").agg(F.min("dist").alias("nearest")))
+    while rows_of(left) and radius < 2 * math.sqrt(dimension):
+        found = spill(_grid_near(points, dims, radius, left).groupBy(F.col("src").alias("id")).agg(F.min("dist").alias("nearest")))
         near = found if near is None else near.unionByName(found)
-        left = spill(points.join(found.select(F.col("src").alias("id")), "id", "left_anti").join(near.select(F.col("src").alias("id")), "id", "left_anti"))
+        left = spill(left.join(found, "id", "left_anti"))
         radius *= 2
-    near = near if near is not None else spark.createDataFrame([], "src bigint, nearest double")
-    reach = (near.agg(F.max("nearest")).first()[0] or 0.0) * density
-    e = _grid_near(points, dims, max(reach, 1e-9)).join(near, "src").where(F.col("dist") <= F.col("nearest") * density)
+    if near is None:
+        return Graph(v, spark.createDataFrame([], "eid bigint, src bigint, dst bigint"))
+    reach = spill(points.join(near.withColumn("reach", F.greatest(F.col("nearest") * density, F.lit(1e-9))), "id").withColumn("level", F.ceil(F.log2(F.col("reach") / first)).cast("int")))
+    e = None
+    for level in [r.level for r in reach.select("level").distinct().orderBy("level").collect()]:  # at most the logarithm of the range of distances
+        mine = reach.where(F.col("level") == level)
+        some = _grid_near(points, dims, first * 2.0**level * (1 + 1e-12), mine).join(mine.select(F.col("id").alias("src"), "reach"), "src").where(F.col("dist") <= F.col("reach"))
+        e = some if e is None else e.unionByName(some)
     return Graph(v, e.select(hashed_id("src", "dst").alias("eid"), "src", "dst"))
 
 

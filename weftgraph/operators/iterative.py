@@ -361,25 +361,32 @@ def k_path_centrality(g: Graph, k: int = 3, samples: int = 1000, seed: int = 0,
     return g.vertices.select("id").join(per, "id", "left").fillna(0.0, [name])
 
 
-def diameter(g: Graph, max_error: float = 0.0, sweeps: int = 4) -> tuple[int, int]:
-    """Lower and upper bound of the longest shortest undirected path (infinite distances aside).
+def diameter(g: Graph, max_error: float = 0.0) -> tuple[int, int]:
+    """Lower and upper bound of the longest shortest undirected path (infinite distances aside): equal, unless ``max_error`` allows a relative difference.
 
-    Double sweeps give the lower bound and twice the least eccentricity the upper; unless they meet the allowed relative
-    error, the exact value comes from all distances.
+    A breadth-first search from one vertex of each component at a time bounds the eccentricity of all others: it is at least d and e - d, at most e + d, d being the distance to that
+    vertex and e its eccentricity. Vertices that cannot be farther from any other than what was found drop out; the next search starts at the one with the highest upper bound, then at
+    that with the lowest lower one. So a round has as many rows as there are vertices, and few rounds do.
     """
-    n = g.vertices.count()
-    if max_error > 0 and n:
-        low, high = 0, 10**9
-        at = g.vertices.select("id").orderBy(F.xxhash64("id")).limit(1)
-        for _ in range(sweeps):
-            far = distances(g, "all edges", 10**6, at).orderBy(F.desc("d"), "id").first()
-            low, high = max(low, far.d), min(high, 2 * far.d)
-            at = g.spark.createDataFrame([(far.id,)], "id bigint")
-        whole = distances(g, "all edges", 10**6, at).count() == n
-        if whole and high - low <= max_error * max(1, low):
-            return low, high
-    exact = distances(g, "all edges", 10**6).agg(F.max("d")).first()[0] or 0
-    return exact, exact
+    near = neighbours(g.need_edges()).select(F.col("center").alias("id")).distinct()
+    far = F.lit(1 << 40)
+    state = spill(connected_components(g).join(near, "id").select("id", "component", F.lit(0).cast("bigint").alias("low"), far.alias("up")))
+    best, k = 0, 0
+    while True:
+        left = state.where(F.col("up") > best)
+        top = left.agg(F.max("up")).first()[0]
+        if top is None:
+            return best, best
+        if max_error > 0 and top < 1 << 40 and top - best <= max_error * max(1, best):
+            return best, top
+        pick = F.max_by("id", F.struct("up", F.xxhash64("id"))) if k % 2 == 0 else F.min_by("id", F.struct("low", F.xxhash64("id")))
+        d = spill(distances(g, "all edges", 10**9, spill(left.groupBy("component").agg(pick.alias("id")).select("id"))))
+        reach = d.groupBy("source").agg(F.max("d").cast("bigint").alias("e"))
+        best = max(best, reach.agg(F.max("e")).first()[0] or 0)
+        found = d.join(reach, "source").select("id", "d", "e")
+        after = spill(state.join(found, "id", "left").select("id", "component", F.greatest("low", F.col("d").cast("bigint"), F.col("e") - F.col("d")).alias("low"), F.least("up", F.col("e") + F.col("d")).alias("up")))
+        drop(state)
+        state, k = after, k + 1
 
 
 def effective_diameter(g: Graph, ratio: float = 0.9, bits: int | None = None) -> float:
