@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, Segmentation, clash_free, with_id
 from ..runtime import spill
 from . import iterative, metrics
-from .direction import both_ways
 from .segment import from_labels, overlapping
 
+#: Numbers in a block of the tests whether a clique is extended by an earlier vertex.
+BLOCK = 1 << 20
+
 
 def find_connected_components(g: Graph, directions: str = "ignore directions", name: str = "connected_components") -> Graph:
     return from_labels(g, name, iterative.connected_components(g, directions).withColumnRenamed("component", "label"))
@@ -24,52 +27,147 @@ def find_triangles(g: Graph, both_directions: bool = False, name: str = "triangl
     return g.with_segmentation(name, Segmentation(Graph(t.select(F.col("sid").alias("id"))), t.select(F.explode(F.array("a", "b", "c")).alias("vid"), "sid")))
 
 
-def _pivot_cliques(near: dict, seed: set, rest: set, done: set, least: int):
-    """All maximal cliques that extend ``seed``, by branching on what the best-linked candidate does not cover. No recursion."""
-    stack = [(seed, rest, done)]
+def _pivot_cliques(near: list[int], least: int):
+    """All maximal cliques of at least ``least`` vertices 0, 1, ..., whose neighbours are the bits of ``near``, as bits: by branching on what the best-linked candidate does not cover. No recursion."""
+    stack = [(0, (1 << len(near)) - 1, 0)]
     while stack:
         r, p, x = stack.pop()
         if not p and not x:
-            if len(r) >= least:
-                yield sorted(r)
+            if r.bit_count() >= least:
+                yield r
             continue
-        if len(r) + len(p) < least:
+        if r.bit_count() + p.bit_count() < least:
             continue
-        pivot = max(p | x, key=lambda v: len(p & near.get(v, set())))
-        p, x = set(p), set(x)
-        for v in p - near.get(pivot, set()):
-            n = near.get(v, set())
-            stack.append((r | {v}, p & n, x & n))
-            p.discard(v)
-            x.add(v)
+        left = p & ~near[max(_bits(p | x), key=lambda v: (p & near[v]).bit_count())]
+        for v in _bits(left):
+            stack.append((r | 1 << v, p & near[v], x & near[v]))
+            p ^= 1 << v
+            x |= 1 << v
+
+
+def _bits(x: int):
+    while x:
+        low = x & -x
+        yield low.bit_length() - 1
+        x ^= low
+
+
+class _Fan:
+    """The cliques whose first member is ``at``: from the links (p, q) among its later neighbours, and then, for each earlier neighbour, which of those are its neighbours, too."""
+
+    def __init__(self, at: int, least: int):
+        self.at, self.least, self.links, self.ids = at, least, [], None
+
+    def link(self, p: np.ndarray, q: np.ndarray) -> None:
+        self.links.append((p, q))
+
+    def begin(self) -> None:
+        p, q = (np.concatenate(x) for x in zip(*self.links))
+        self.links = []
+        self.ids, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+        near = [0] * len(self.ids)
+        for i, j in zip(*(x.tolist() for x in np.split(at, 2))):
+            near[i] |= 1 << j
+            near[j] |= 1 << i
+        wide = -(-len(near) // 8)
+        found = [np.frombuffer(c.to_bytes(wide, "little"), np.uint8) for c in _pivot_cliques(near, self.least - 1)]
+        self.cliques = np.stack(found) if found else np.zeros((0, wide), np.uint8)
+
+    def rows(self, cliques: np.ndarray) -> np.ndarray:
+        return np.unpackbits(cliques, axis=1, count=len(self.ids), bitorder="little")
+
+    def before(self, w: np.ndarray, m: np.ndarray) -> None:
+        """Drop what an earlier neighbour extends. All rows of a ``w`` are in one call, in its order."""
+        pos = np.minimum(np.searchsorted(self.ids, m), len(self.ids) - 1)
+        keep = self.ids[pos] == m
+        w, pos = w[keep], pos[keep]
+        _, k, n = np.unique(w, return_inverse=True, return_counts=True)
+        keep = n[k] >= self.least - 1  # others have no clique among their neighbours
+        _, k = np.unique(w[keep], return_inverse=True)
+        pos = pos[keep]
+        count = int(k[-1]) + 1 if len(k) else 0
+        block = max(1, BLOCK // len(self.ids))
+        for i in range(0, count, block):
+            if not len(self.cliques):
+                return
+            here = (k >= i) & (k < i + block)
+            mask = np.zeros((min(block, count - i), len(self.ids)), np.float32)
+            mask[k[here] - i, pos[here]] = 1
+            alive = []
+            for j in range(0, len(self.cliques), block):
+                part = self.rows(self.cliques[j : j + block]).astype(np.float32)
+                alive.append(~(part @ mask.T == part.sum(axis=1)[:, None]).any(axis=1))
+            self.cliques = self.cliques[np.concatenate(alive)]
+
+    def members(self):
+        """Sorted members and their number for each clique left, some at a time."""
+        step = max(1, BLOCK // len(self.ids))
+        for j in range(0, len(self.cliques), step):
+            part = self.rows(self.cliques[j : j + step])
+            k, i = np.nonzero(np.c_[part, np.ones(len(part), np.uint8)])
+            ids = np.append(self.ids, self.at)[i]
+            ids = ids[np.lexsort((ids, k))]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(k))), pa.int32()), pa.array(ids, pa.int64()))], names=["members"])
+
+
+def _first_cliques(least: int):
+    def run(batches):
+        """Rows at, w, p, q, ordered: a link (p, q) of two later neighbours of ``at`` without w; then (w, p), where p is a later neighbour of ``at`` and linked to the earlier neighbour w."""
+        fan, rest = None, None
+        for batch in batches:
+            at, p, q = (batch.column(c).fill_null(0).to_numpy() for c in ("at", "p", "q"))
+            first, w = batch.column("w").is_null().to_numpy(zero_copy_only=False), batch.column("w").fill_null(0).to_numpy()
+            cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])).tolist() if len(at) else []
+            for i, j in zip(cuts, [*cuts[1:], len(at)]):
+                if fan is None or fan.at != at[i]:
+                    yield from _ended(fan, rest)
+                    fan, rest = _Fan(int(at[i]), least), None
+                s = i + int(first[i:j].sum())
+                if s > i:
+                    fan.link(p[i:s], q[i:s])
+                if s < j and (fan.links or fan.ids is not None):
+                    if fan.ids is None:
+                        fan.begin()
+                    ws, ms = w[s:j], p[s:j]
+                    if rest is not None:
+                        ws, ms = np.append(rest[0], ws), np.append(rest[1], ms)
+                    cut = int(np.searchsorted(ws, ws[-1]))  # the last one may go on in the next batch
+                    fan.before(ws[:cut], ms[:cut])
+                    rest = ws[cut:], ms[cut:]
+        yield from _ended(fan, rest)
+
+    return run
+
+
+def _ended(fan: _Fan | None, rest):
+    if fan is None or not fan.links and fan.ids is None:
+        return
+    if fan.ids is None:
+        fan.begin()
+    if rest is not None:
+        fan.before(*rest)
+    yield from fan.members()
 
 
 def maximal_cliques(edges: DataFrame, both_directions: bool = False, least: int = 3) -> DataFrame:
-    """Arrays of the members of all maximal cliques of at least ``least`` vertices: members.
+    """Arrays of the members of all maximal cliques of at least ``least`` vertices: members, in order.
 
-    Every clique is found at its member of lowest (degree, id): a task has that vertex's neighbourhood and the pairs
-    linked inside it, which come from the triangles. A neighbourhood of later vertices has at most sqrt(2 * pairs) members.
+    Every clique is found at its member of lowest (degree, id), from the links among that vertex's later neighbours, of which there are at most sqrt(2 * pairs); then
+    those that an earlier neighbour extends are dropped. Both come from the triangles as sorted rows that stream through the task, so no row or task holds a hub's neighbours.
     """
     pairs = spill(metrics.simple_pairs(edges, both_directions))
-    deg = pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("d"))
-    rank = deg.select("v", F.struct("d", "v").alias("k"))
-    near = both_ways(pairs.withColumnsRenamed({"a": "src", "b": "dst"})).join(rank.withColumnRenamed("v", "center"), "center").join(rank.select(F.col("v").alias("other"), F.col("k").alias("ko")), "other")
-    star = near.groupBy("center").agg(F.collect_list(F.struct("other", (F.col("ko") > F.col("k")).alias("later"))).alias("near"))
-    inside = metrics.triangle_corners(metrics.triangles(edges, both_directions)).groupBy(F.col("v").alias("center")).agg(F.collect_list(F.struct("p", "q")).alias("links"))
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for v, near, links in zip(pdf["center"], pdf["near"], pdf["links"]):
-                table: dict[int, set[int]] = {}
-                for link in links if links is not None else ():
-                    table.setdefault(link["p"], set()).add(link["q"])
-                    table.setdefault(link["q"], set()).add(link["p"])
-                later, before = ({x["other"] for x in near if x["later"] == way} for way in (True, False))
-                out += _pivot_cliques(table, {v}, later, before, least)
-            yield pd.DataFrame({"members": [[int(x) for x in c] for c in out]})
-
-    return star.join(inside, "center", "left").mapInPandas(run, "members array<bigint>")
+    t = metrics.fans(spill(metrics.oriented(pairs)))
+    if least < 3:
+        t = spill(t)
+    last = F.when(F.col("middle") == F.col("p"), F.col("q")).otherwise(F.col("p"))
+    none = F.lit(None).cast("bigint")
+    rows = t.select(F.inline(F.array(F.struct(F.col("x").alias("at"), none.alias("w"), F.col("p"), F.col("q")), F.struct(F.col("middle").alias("at"), F.col("x").alias("w"), last.alias("p"), none.alias("q")))))
+    out = rows.repartition("at").sortWithinPartitions("at", F.asc_nulls_first("w")).mapInArrow(_first_cliques(max(least, 3)), "members array<bigint>")
+    if least > 2:
+        return out
+    # with less than three, also the pairs in no triangle
+    sides = t.select(F.inline(F.array(*(F.struct(F.least(*x).alias("a"), F.greatest(*x).alias("b")) for x in (("x", "p"), ("x", "q"), ("p", "q"))))))
+    return out.unionByName(pairs.join(sides.distinct(), ["a", "b"], "left_anti").select(F.array("a", "b").alias("members")))
 
 
 def find_maximal_cliques(g: Graph, both_directions: bool = False, least: int = 3, name: str = "maximal_cliques") -> Graph:

@@ -30,14 +30,22 @@ def triangles(edges: DataFrame, mutual: bool = False) -> DataFrame:
     Pairs are oriented from lower to higher degree, so that a hub is nowhere the middle of many candidate pairs: no
     vertex has more than sqrt(2 * pairs) oriented neighbours.
     """
-    e = simple_pairs(edges, mutual)
+    t = fans(oriented(simple_pairs(edges, mutual)))
+    return t.select(F.sort_array(F.array("x", "p", "q")).alias("t")).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
+
+
+def oriented(e: DataFrame) -> DataFrame:
+    """Pairs (a, b) as x, y from the end of lower (degree, id) to the other."""
     deg = e.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("d"))
     e = e.join(deg.withColumnsRenamed({"v": "a", "d": "da"}), "a").join(deg.withColumnsRenamed({"v": "b", "d": "db"}), "b")
     up = F.expr("da < db or (da = db and a < b)")
-    o = e.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y"))
+    return e.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y"))
+
+
+def fans(o: DataFrame) -> DataFrame:
+    """Each triangle of oriented pairs once: x, p < q (by id), and which of p and q is the ``middle`` one of the order; x is the first."""
     wedge = o.select("x", F.col("y").alias("p")).join(o.select("x", F.col("y").alias("q")), "x").where("p < q")
-    closed = wedge.join(e.select(F.col("a").alias("p"), F.col("b").alias("q")), ["p", "q"])
-    return closed.select(F.sort_array(F.array("x", "p", "q")).alias("t")).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
+    return wedge.join(o.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), F.col("x").alias("middle")), ["p", "q"])
 
 
 def triangle_corners(t: DataFrame) -> DataFrame:
