@@ -4,9 +4,7 @@ import random
 from itertools import combinations
 
 import pytest
-from pyspark.sql import functions as F
 
-from weftgraph import Graph
 from weftgraph.operators import communities
 
 
@@ -57,3 +55,29 @@ def test_no_row_of_the_clique_search_holds_a_hubs_neighbours(spark, monkeypatch)
     got = {tuple(r.members) for r in communities.maximal_cliques(e).collect()}
     assert got == {(0, i, i + 1) for i in range(1, 150, 2)}
     assert kinds and all(kind == "long" for k in kinds for kind in k)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9])
+@pytest.mark.parametrize("most", [0, 4, 500])
+def test_links_of_overlapping_cliques_have_the_components_of_all_pairs(spark, threshold, most):
+    rng = random.Random(8)
+    members = {k: rng.sample(range(14), rng.choice([3, 3, 4, 5, 7, 9])) for k in range(40)}
+    m = spark.createDataFrame([(k, v, float(len(x))) for k, x in members.items() for v in x], "sid bigint, vid bigint, size double")
+
+    def components(links):
+        label = {k: k for k in members}
+        for _ in members:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    size = {k: len(x) for k, x in members.items()}
+    all_pairs = [(a, b) for a, b in combinations(members, 2) if len({*members[a]} & {*members[b]}) >= communities._least_shared(size[a], size[b], threshold)]
+    got = [(r.src, r.dst) for r in communities._overlap_links(m, threshold, most).collect()]
+    assert components(got) == components(all_pairs)
+
+
+def test_cliques_of_one_edge_are_not_linked_each_to_each(spark):
+    """100 triangles on one edge: 4,950 pairs share enough, but a few links say so."""
+    m = spark.createDataFrame([(k, v, 3.0) for k in range(100) for v in (1000, 1001, k)], "sid bigint, vid bigint, size double")
+    assert 99 <= communities._overlap_links(m, 0.6).count() < 300

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph, Segmentation, clash_free, with_id
@@ -177,18 +180,74 @@ def find_maximal_cliques(g: Graph, both_directions: bool = False, least: int = 3
     return g.with_segmentation(name, Segmentation(Graph(v), c.select(F.explode("members").alias("vid"), "sid")))
 
 
+def _least_shared(a: int, b: int, threshold: float) -> int:
+    return math.ceil(threshold * (a + b) * (a * a + b * b) / (4 * a * b))
+
+
+def _overlap_links(m: DataFrame, threshold: float, most: int = 500) -> DataFrame:
+    """src, dst: links between cliques (sid, vid, size) with the same components as those of all pairs that share enough.
+
+    Cliques of sizes a <= b are linked if they have a set of as many vertices as they must share in common. All that have one set in common are linked to the least of them, not each to each:
+    that takes a row for each set of a clique, not for each pair. (Two of size b alone need not be linked; with one of size a they are, over it.) Sizes that have
+    more than ``most`` such sets are compared in pairs.
+    """
+    sizes = sorted(int(r[0]) for r in m.select("size").distinct().collect())
+    need = {(a, b): _least_shared(a, b, threshold) for a in sizes for b in sizes if a <= b}
+    need = {k: max(n, 1) for k, n in need.items() if n <= k[0]}
+    by_set = {k: n for k, n in need.items() if max(math.comb(k[0], n), math.comb(k[1], n)) <= most}
+
+    def run(batches):
+        """a hash of 128 bits of each set with the sizes, the clique, and its size"""
+        for batch in batches:
+            size, sid = batch.column("size").to_numpy(), batch.column("sid").to_numpy()
+            flat, begin = batch.column("members").flatten().to_numpy(), np.append(0, np.cumsum(size))[:-1]
+            for (a, b), n in by_set.items():
+                for s in {a, b}:
+                    at = np.flatnonzero(size == s)
+                    sets = np.array(list(combinations(range(s), n)))
+                    for i in range(0, len(at), step := max(1, BLOCK // (len(sets) * n))):
+                        here = at[i : i + step]
+                        ids = flat[begin[here][:, None] + np.arange(s)][:, sets].astype(np.uint64)
+                        h = [_mixed(ids, (a << 32) + b + seed) for seed in (1 << 62, 1 << 63)]
+                        yield pa.RecordBatch.from_arrays([pa.array(x.ravel().view(np.int64)) for x in h] + [pa.array(np.repeat(sid[here], len(sets))), pa.array(np.full(len(here) * len(sets), s, np.int32)), pa.array(np.full(len(here) * len(sets), a, np.int32))], names=["h", "k", "sid", "size", "a"])
+
+    out = None
+    if by_set:
+        lists = m.groupBy("sid").agg(F.sort_array(F.collect_list("vid")).alias("members")).select("sid", F.size("members").cast("bigint").alias("size"), "members")
+        same = Window.partitionBy("h", "k")
+        sets = lists.mapInArrow(run, "h bigint, k bigint, sid bigint, size int, a int").select("sid", "a", F.min("size").over(same).alias("least"), F.min("sid").over(same).alias("first"))
+        out = sets.where("sid <> first and least = a").select(F.col("sid").alias("src"), F.col("first").alias("dst")).distinct()
+    left = sorted({x for k in need if k not in by_set for x in k})
+    if left:
+        large = m.where(F.col("size").isin(*map(float, left)))
+        # what two cliques must share is at least 0.9 * threshold of the larger
+        shared = overlapping(large.select("sid", "vid", F.greatest(F.lit(1), F.ceil(0.9 * threshold * F.col("size"))).alias("need")))
+        of = large.groupBy("sid").agg(F.first("size").alias("size"))
+        both = shared.join(of.select(F.col("sid").alias("a"), F.col("size").alias("_a")), "a").join(of.select(F.col("sid").alias("b"), F.col("size").alias("_b")), "b").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("_a").alias("a"), F.col("_b").alias("b"), "n")
+        enough = F.ceil(threshold * (F.col("a") + F.col("b")) * (F.col("a") ** 2 + F.col("b") ** 2) / (4 * F.col("a") * F.col("b")))
+        pairs = both.where(F.col("n") >= enough).select("src", "dst")
+        out = pairs if out is None else out.unionByName(pairs)
+    return spill(out) if out is not None else m.select(F.col("sid").alias("src"), F.col("sid").alias("dst")).limit(0)
+
+
+def _mixed(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of 64 bits of the last axis."""
+    h = np.full(ids.shape[:-1], seed, np.uint64)
+    for i in range(ids.shape[-1]):
+        h = (h ^ ids[..., i]) + np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    return h
+
+
 def find_infocom_communities(g: Graph, both_directions: bool = True, least: int = 3, threshold: float = 0.6, cliques: str = "maximal_cliques", communities: str = "communities") -> Graph:
     """Communities: components of the maximal cliques, two of sizes a and b being linked if they share at least
     ceil(threshold * (a + b) * (a*a + b*b) / (4*a*b)) vertices."""
     g = find_maximal_cliques(g, both_directions, least, cliques)
     s = g.segmentation(cliques)
     m = spill(s.membership.join(s.graph.vertices.select(F.col("id").alias("sid"), "size"), "sid"))
-    # what two cliques must share is at least 0.9 * threshold of the larger
-    shared = overlapping(m.select("sid", "vid", F.ceil(0.9 * threshold * F.col("size")).alias("need")))
-    sizes = m.groupBy("sid").agg(F.first("size").alias("size"))
-    both = shared.join(sizes.select(F.col("sid").alias("a"), F.col("size").alias("_a")), "a").join(sizes.select(F.col("sid").alias("b"), F.col("size").alias("_b")), "b").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("_a").alias("a"), F.col("_b").alias("b"), "n")
-    enough = F.ceil(threshold * (F.col("a") + F.col("b")) * (F.col("a") ** 2 + F.col("b") ** 2) / (4 * F.col("a") * F.col("b")))
-    links = both.where(F.col("n") >= enough)
+    links = _overlap_links(m, threshold)
     joined = iterative.connected_components(Graph(m.select(F.col("sid").alias("id")).distinct(), links.select("src", "dst")))
     out = m.join(joined.select(F.col("id").alias("sid"), "component"), "sid").select("vid", F.col("component").alias("sid")).distinct()
     v = out.groupBy(F.col("sid").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("size"))
