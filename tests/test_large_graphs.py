@@ -1,11 +1,14 @@
 """What once failed on large graphs, at its smallest."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import DataFrame
 
 from weftgraph.operators import communities
+from weftgraph.queries import more_queries
 
 
 def cliques_of(edges, least):
@@ -81,3 +84,14 @@ def test_cliques_of_one_edge_are_not_linked_each_to_each(spark):
     """100 triangles on one edge: 4,950 pairs share enough, but a few links say so."""
     m = spark.createDataFrame([(k, v, 3.0) for k in range(100) for v in (1000, 1001, k)], "sid bigint, vid bigint, size double")
     assert 99 <= communities._overlap_links(m, 0.6).count() < 300
+
+
+def test_cliques_by_size_of_people_with_a_hub(spark, tmp_path, monkeypatch):
+    """Only rows of numbers go to Python for the query, and the counts are those of a plain search."""
+    rng = random.Random(6)
+    edges = [(0, i) for i in range(1, 41)] + [(rng.randrange(1, 25), rng.randrange(1, 25)) for _ in range(120)]
+    spark.createDataFrame([(i, f"p{i}", i) for i in range(41)], "vertexId bigint, name string, age int").write.parquet(f"{tmp_path}/testgraph_vertices.parquet")
+    spark.createDataFrame([(k, a, b, "") for k, (a, b) in enumerate(edges)], "edge_id bigint, srcVertexId bigint, dstVertexId bigint, comment string").write.parquet(f"{tmp_path}/testgraph_edges.parquet")
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda *a: pytest.fail("lists in rows"))
+    got = {r.size: r.n for r in more_queries.maximal_cliques_by_size(spark, str(tmp_path)).collect()}
+    assert got == Counter(map(len, cliques_of(edges, 3)))
