@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import DataFrame
 
-from weftgraph.operators import communities
+from weftgraph.operators import communities, matching
 from weftgraph.queries import more_queries
 
 
@@ -95,3 +95,18 @@ def test_cliques_by_size_of_people_with_a_hub(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(DataFrame, "mapInPandas", lambda *a: pytest.fail("lists in rows"))
     got = {r.size: r.n for r in more_queries.maximal_cliques_by_size(spark, str(tmp_path)).collect()}
     assert got == Counter(map(len, cliques_of(edges, 3)))
+
+
+def test_a_fire_lights_as_many_neighbours_as_the_probability_says(spark, adjacency):
+    """Fires at spread 0.9 light 9 neighbours a vertex on average: in a ring of links to the next 40 vertices, so all but a few vertices burn."""
+    n = 200
+    g = adjacency({i: [(i + j) % n for j in range(1, 41)] for i in range(n)})
+    seen = []
+    whole = matching.together
+    try:
+        matching.together = lambda x: seen.append(whole(x).toPandas()) or whole(x)
+        matching.forest_fire_scores(g, 0.9, 0.5, seed=2).count()
+    finally:
+        matching.together = whole
+    fires = [len(x[x.eid.notna()]) / x.fire.nunique() for x in seen if x.eid.notna().any()]
+    assert max(fires) > 0.9 * n

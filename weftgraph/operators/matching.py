@@ -190,7 +190,7 @@ def forest_fire_scores(g: Graph, spread: float = 0.99, burn_ratio: float = 10.0,
             seen = together(levels)
             draw = F.xxhash64("fire", "at", "to", F.lit(d))
             order = F.row_number().over(Window.partitionBy("fire", "at").orderBy(draw))
-            much = F.floor(F.log(uniform(F.xxhash64("fire", "at", F.lit(d)), 2)) / F.log(F.lit(min(max(spread * 0.7, 1e-6), 1 - 1e-6))))
+            much = F.floor(F.log(uniform(F.xxhash64("fire", "at", F.lit(d)), 2)) / F.log(F.lit(min(max(spread, 1e-6), 1 - 1e-6))))
             lit = front.select("fire", "at").distinct().join(step, "at").join(seen.select("fire", F.col("at").alias("to")), ["fire", "to"], "left_anti")
             front = spill(lit.withColumn("_o", order).where(F.col("_o") <= much).select("fire", "eid", F.col("to").alias("at")))
             levels.append(front)
