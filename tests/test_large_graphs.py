@@ -97,7 +97,8 @@ def test_cliques_by_size_of_people_with_a_hub(spark, tmp_path, monkeypatch):
     assert got == Counter(map(len, cliques_of(edges, 3)))
 
 
-def test_a_fire_lights_as_many_neighbours_as_the_probability_says(spark, adjacency):
+@pytest.mark.parametrize("in_memory", [0, 10**6])
+def test_a_fire_lights_as_many_neighbours_as_the_probability_says(spark, adjacency, in_memory):
     """Fires at spread 0.9 light 9 neighbours a vertex on average: in a ring of links to the next 40 vertices, so all but a few vertices burn."""
     n = 200
     g = adjacency({i: [(i + j) % n for j in range(1, 41)] for i in range(n)})
@@ -105,8 +106,9 @@ def test_a_fire_lights_as_many_neighbours_as_the_probability_says(spark, adjacen
     whole = matching.together
     try:
         matching.together = lambda x: seen.append(whole(x).toPandas()) or whole(x)
-        matching.forest_fire_scores(g, 0.9, 0.5, seed=2).count()
+        matching.forest_fire_scores(g, 0.9, 0.5, seed=2, in_memory=in_memory).count()
     finally:
         matching.together = whole
     fires = [len(x[x.eid.notna()]) / x.fire.nunique() for x in seen if x.eid.notna().any()]
     assert max(fires) > 0.9 * n
+    assert all(not x.dropna().duplicated(["fire", "at"]).any() for x in seen)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from ..runtime import drop, rows_of, spill, together
 from .direction import neighbours
 
 #: Edges that the fires of one batch burn at about.
-FIRE_ROWS = 2_000_000
+FIRE_ROWS = 10_000_000
+#: Edges up to which the fires burn in memory, and vertices times fires that burn side by side there.
+FIRE_EDGES, FIRE_BLOCK = 5_000_000, 1_000_000
 
 
 def similarities(left: DataFrame, right: DataFrame, candidates: DataFrame, least_overlap: int = 1, least_similarity: float = 0.5, extra_weight: float = 0.0, weighting: str = "InverseInDegree") -> DataFrame:
@@ -163,40 +167,58 @@ def steiner_tree(g: Graph, edge_cost: str, root_cost: str, gain: str, arc: str =
     return g.with_vertex_values(nodes).with_edge_values(edges).with_scalars(**{profit: total})
 
 
-def forest_fire_scores(g: Graph, spread: float = 0.99, burn_ratio: float = 10.0, seed: int = 0, name: str = "forest_fire_score") -> DataFrame:
+def forest_fire_scores(g: Graph, spread: float = 0.99, burn_ratio: float = 10.0, seed: int = 0, name: str = "forest_fire_score", in_memory: int = FIRE_EDGES) -> DataFrame:
     """eid and how often fires burn over an edge, over the most for any. Fires start at random vertices with neighbours, in batches, until
-    ``burn_ratio`` times the edges have burned; each burning vertex lights a geometric number of unburned neighbours.
+    ``burn_ratio`` times the edges have burned; each burning vertex lights unburned neighbours for as long as a draw is below ``spread``, and a vertex burns once in a fire.
 
     A fire burns until it dies out. A batch has as many fires as the rest of the goal needs at the edges burned a fire so far, but at most
     twice those before it, and no more than reach ``FIRE_ROWS`` vertices if each is like the largest so far (one fire at least). Without edges between different vertices, or at spread 0, nothing burns.
+    A graph of at most ``in_memory`` edges is sent to the tasks, where whole fires burn side by side; a larger one burns step by step in joins.
     """
     from .attributes import uniform
 
     e = spill(g.need_edges().select("eid", "src", "dst"))
-    step = spill(e.select("eid", F.inline(F.array(F.struct(F.col("src").alias("at"), F.col("dst").alias("to")), F.struct(F.col("dst").alias("at"), F.col("src").alias("to"))))).where("at <> to"))
-    starts = spill(step.select("at").distinct())
-    n = rows_of(starts)
+    spark, whole, step, starts = e.sparkSession, None, None, None
+    if rows_of(e) <= in_memory:
+        links = _links_in_memory(e, seed)
+        n = len(links[0]) - 1
+        whole = spark.sparkContext.broadcast(links)
+        del links
+    else:
+        step = spill(e.select("eid", F.inline(F.array(F.struct(F.col("src").alias("at"), F.col("dst").alias("to")), F.struct(F.col("dst").alias("at"), F.col("src").alias("to"))))).where("at <> to"))
+        starts = spill(step.select("at").distinct())
+        n = rows_of(starts)
+    chance = min(max(spread, 1e-6), 1 - 1e-6)
     goal, burned, fired, largest, counts, r = burn_ratio * rows_of(e), 0, 0, n, None, 0
     while n and spread > 0 and burned < goal:
         each = max(1.0, burned / fired) if fired else n  # the first batch counts on all vertices burning
         batch = int(max(1, min(n, -(-(goal - burned) // each), FIRE_ROWS // largest, 2 * fired or n)))
-        fires = starts.select("at", F.xxhash64("at", F.lit(seed), F.lit(r)).alias("fire"))
-        fires = fires.orderBy("fire", "at").limit(batch) if batch <= 1000 else fires.where(uniform("fire", 3) < batch / n)
-        front = spill(fires.select("fire", F.lit(None).cast("bigint").alias("eid"), "at"))
         largest = largest if fired else 1
-        fired += rows_of(front)
-        d, levels = 0, [front]
-        while True:
-            seen = together(levels)
-            draw = F.xxhash64("fire", "at", "to", F.lit(d))
-            order = F.row_number().over(Window.partitionBy("fire", "at").orderBy(draw))
-            much = F.floor(F.log(uniform(F.xxhash64("fire", "at", F.lit(d)), 2)) / F.log(F.lit(min(max(spread, 1e-6), 1 - 1e-6))))
-            lit = front.select("fire", "at").distinct().join(step, "at").join(seen.select("fire", F.col("at").alias("to")), ["fire", "to"], "left_anti")
-            front = spill(lit.withColumn("_o", order).where(F.col("_o") <= much).select("fire", "eid", F.col("to").alias("at")))
-            levels.append(front)
-            if not rows_of(front):
-                break
-            burned, d = burned + rows_of(front), d + 1
+        if whole is not None:
+            side = max(1, FIRE_BLOCK // n)  # fires that burn side by side
+            blocks = -(-batch // side)
+            ids = spark.range(0, blocks, 1, min(blocks, 4 * spark.sparkContext.defaultParallelism))
+            levels = [spill(ids.mapInArrow(_fires(whole, side, batch, chance, (seed, r)), "fire bigint, eid bigint, at bigint"))]
+            fired += batch
+            burned += rows_of(levels[0])
+        else:
+            fires = starts.select("at", F.xxhash64("at", F.lit(seed), F.lit(r)).alias("fire"))
+            fires = fires.orderBy("fire", "at").limit(batch) if batch <= 1000 else fires.where(uniform("fire", 3) < batch / n)
+            front = spill(fires.select("fire", F.lit(None).cast("bigint").alias("eid"), "at"))
+            fired += rows_of(front)
+            d, levels = 0, [front]
+            while True:
+                seen = together(levels)
+                draw = F.xxhash64("fire", "at", "to", "eid", F.lit(d))
+                order = F.row_number().over(Window.partitionBy("fire", "at").orderBy(draw))
+                much = F.floor(F.log(uniform(F.xxhash64("fire", "at", F.lit(d)), 2)) / F.log(F.lit(chance)))
+                lit = front.select("fire", "at").join(step, "at").join(seen.select("fire", F.col("at").alias("to")), ["fire", "to"], "left_anti")
+                lit = lit.withColumn("_o", order).where(F.col("_o") <= much).groupBy("fire", F.col("to").alias("_at")).agg(F.min_by("eid", F.struct(draw, "eid")).alias("eid"))
+                front = spill(lit.select("fire", "eid", F.col("_at").alias("at")))
+                levels.append(front)
+                if not rows_of(front):
+                    break
+                burned, d = burned + rows_of(front), d + 1
         seen = together(levels)
         largest = max(largest, seen.groupBy("fire").count().agg(F.max("count")).first()[0] or 1)
         each = seen.where("eid is not null").groupBy("eid").agg(F.count(F.lit(1)).alias("n"))
@@ -210,13 +232,72 @@ def forest_fire_scores(g: Graph, spread: float = 0.99, burn_ratio: float = 10.0,
     return e.select("eid").join(counts, "eid", "left").select("eid", (F.coalesce("n", F.lit(0)) / top).alias(name))
 
 
+def _links_in_memory(e: DataFrame, seed: int) -> tuple[np.ndarray, ...]:
+    """The links of each vertex that has neighbours, in an order by chance: where they begin, the other ends, the edges' numbers; ids of the vertices and of the edges."""
+    t = e.where("src <> dst").orderBy("eid").toArrow()
+    src, dst, eid = (t.column(c).to_numpy() for c in ("src", "dst", "eid"))
+    del t
+    ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    at = at.astype(np.int32)
+    k = np.random.default_rng(seed).permutation(len(at)).astype(np.int32)
+    k = k[np.argsort(at[k], kind="stable")]
+    begin = np.append(0, np.cumsum(np.bincount(at, minlength=len(ids)))).astype(np.int32)
+    m = len(src)
+    return begin, at[np.where(k < m, k + m, k - m)], k % max(m, 1), ids, eid
+
+
+def _fires(whole, side: int, batch: int, chance: float, seed: tuple):
+    """For numbers of blocks of ``side`` fires: what they burn. A level's vertices light in turn, so that none is lit twice."""
+
+    def run(batches):
+        begin, to, edge, ids, eid = whole.value
+        n = len(ids)
+        burning, first = np.zeros(side * n, bool), np.zeros(side * n, np.int32)
+        for k in (x for b in batches for x in b.column(0).to_pylist()):
+            rng = np.random.default_rng([abs(seed[0]), int(seed[0] < 0), seed[1], k])
+            f = np.arange(min(side, batch - k * side), dtype=np.int32)
+            v = rng.integers(0, n, len(f), np.int32)
+            touched = [f * n + v]
+            burning[touched[0]] = True
+            while len(v):
+                size = begin[v + 1] - begin[v]
+                much = np.floor(np.log(1 - rng.random(len(v))) / np.log(chance))
+                owner = np.repeat(np.arange(len(v), dtype=np.int32), size)
+                link = np.repeat(begin[v] - (np.cumsum(size, dtype=np.int32) - size), size) + np.arange(len(owner), dtype=np.int32)
+                key = f[owner] * n + to[link]
+                free = ~burning[key]
+                owner, link, key = owner[free], link[free], key[free]
+                left = np.bincount(owner, minlength=len(v))
+                rank = np.zeros(len(owner), np.int32)
+                some = np.flatnonzero((much < left)[owner])  # links of vertices that do not light all; in an order by chance
+                some = some[np.argsort(owner[some] + rng.random(len(some)))]
+                rank[some] = np.arange(len(some)) - np.searchsorted(owner[some], owner[some])
+                reach = np.minimum(much, left)
+                while True:
+                    tried = np.flatnonzero(rank < reach[owner])
+                    first[key[tried[::-1]]] = tried[::-1]  # the first to try lights it
+                    lit = tried[first[key[tried]] == tried]
+                    lost = np.bincount(owner[tried], minlength=len(v)) - np.bincount(owner[lit], minlength=len(v))
+                    now = np.minimum(much + lost, left)  # whoever came too late tries others instead
+                    if (now == reach).all():
+                        break
+                    reach = now
+                f, v = f[owner[lit]], to[link[lit]]
+                burning[key[lit]] = True
+                touched.append(key[lit])
+                for i in range(0, len(lit), 1 << 18):
+                    s = slice(i, i + (1 << 18))
+                    yield pa.RecordBatch.from_arrays([pa.array(f[s].astype(np.int64) + k * side), pa.array(eid[edge[link[lit[s]]]]), pa.array(ids[v[s]])], names=["fire", "eid", "at"])
+            burning[np.concatenate(touched)] = False
+
+    return run
+
+
 def pivot_layout(g: Graph, dimensions: int = 2, pivots: int = 100, name: str = "position", length: str | None = None) -> DataFrame:
     """id and position by pivot MDS: distances to a bounded number of pivots (hops, or sums of the edges' ``length``), centred, projected on their main axes.
 
     The distances stay distributed; only the pivots' covariance (pivots x pivots) comes to the driver.
     """
-    import numpy as np
-
     from .iterative import distances, distances_by_length
 
     chosen = g.vertices.select("id").orderBy(F.xxhash64("id"), "id").limit(pivots)
