@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import DataFrame
 
-from weftgraph.operators import communities, matching
+from weftgraph.operators import communities, iterative, matching
 from weftgraph.queries import more_queries
 
 
@@ -112,3 +112,45 @@ def test_a_fire_lights_as_many_neighbours_as_the_probability_says(spark, adjacen
     fires = [len(x[x.eid.notna()]) / x.fire.nunique() for x in seen if x.eid.notna().any()]
     assert max(fires) > 0.9 * n
     assert all(not x.dropna().duplicated(["fire", "at"]).any() for x in seen)
+
+
+def reaches(n, links, most):
+    """For each vertex and hop count the number of vertices that reach it."""
+    near = {i: {a for a, b in links if b == i} for i in range(n)}
+    out = {}
+    for v in range(n):
+        seen = {v}
+        for d in range(most + 1):
+            out[v, d] = len(seen)
+            seen = seen.union(*(near[x] for x in seen))
+    return out
+
+
+@pytest.mark.parametrize("numbers", [1 << 10, 1 << 26])
+def test_reach_by_registers_writes_no_sketches(spark, adjacency, monkeypatch, numbers):
+    monkeypatch.setattr(iterative, "REACH_LEAST", 1, raising=False)
+    monkeypatch.setattr(iterative, "REACH_NUMBERS", numbers, raising=False)
+    monkeypatch.setattr(iterative, "REACH_BLOCK", 1 << 13, raising=False)
+    written, spill = [], iterative.spill
+    monkeypatch.setattr(iterative, "spill", lambda df, **k: written.append(df.dtypes) or spill(df, **k))
+    rng = random.Random(1)
+    n = 300
+    links = {(rng.randrange(n - 1), rng.randrange(n - 1)) for _ in range(500)}
+    g = adjacency({i: sorted(b for a, b in links if a == i) for i in range(n)})
+    got = {(r.id, r.d): r.size for r in iterative._reach(g, "incoming edges", 6, 12).collect()}
+    want = reaches(n, links, 6)
+    alone = {v for v in range(n) if (v, 1) not in got}
+    assert n - 1 in alone and all(want[v, 6] == 1 for v in alone)
+    assert {v for v, _ in got} == set(range(n))
+    assert all(abs(s - want[k]) <= 3 + 0.05 * want[k] for k, s in got.items())
+    assert max(want.values()) > 60
+    assert not any(kind == "binary" for dtypes in written for _, kind in dtypes)
+
+
+def test_sketches_of_a_hop_are_deleted_after_the_next(spark, adjacency, monkeypatch):
+    dropped, drop = [], iterative.drop
+    monkeypatch.setattr(iterative, "drop", lambda df: dropped.append(df.columns) or drop(df))
+    g = adjacency({i: [i + 1] if i < 7 else [] for i in range(8)})
+    got = {(r.id, r.d): r.size for r in iterative._reach(g, "incoming edges", 4, 12).collect()}
+    assert got[7, 4] == 5 and got[0, 4] == 1
+    assert dropped.count(["id", "s"]) == 5

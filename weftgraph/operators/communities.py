@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph, Segmentation, clash_free, with_id
-from ..runtime import spill
+from ..runtime import mixed, spill
 from . import iterative, metrics
 from .segment import from_labels, overlapping
 
@@ -208,7 +208,7 @@ def _overlap_links(m: DataFrame, threshold: float, most: int = 500) -> DataFrame
                     for i in range(0, len(at), step := max(1, BLOCK // (len(sets) * n))):
                         here = at[i : i + step]
                         ids = flat[begin[here][:, None] + np.arange(s)][:, sets].astype(np.uint64)
-                        h = [_mixed(ids, (a << 32) + b + seed) for seed in (1 << 62, 1 << 63)]
+                        h = [mixed(ids, (a << 32) + b + seed) for seed in (1 << 62, 1 << 63)]
                         yield pa.RecordBatch.from_arrays([pa.array(x.ravel().view(np.int64)) for x in h] + [pa.array(np.repeat(sid[here], len(sets))), pa.array(np.full(len(here) * len(sets), s, np.int32)), pa.array(np.full(len(here) * len(sets), a, np.int32))], names=["h", "k", "sid", "size", "a"])
 
     out = None
@@ -230,17 +230,6 @@ def _overlap_links(m: DataFrame, threshold: float, most: int = 500) -> DataFrame
     return spill(out) if out is not None else m.select(F.col("sid").alias("src"), F.col("sid").alias("dst")).limit(0)
 
 
-def _mixed(ids: np.ndarray, seed: int) -> np.ndarray:
-    """A hash of 64 bits of the last axis."""
-    h = np.full(ids.shape[:-1], seed, np.uint64)
-    for i in range(ids.shape[-1]):
-        h = (h ^ ids[..., i]) + np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-    return h
-
-
 def find_infocom_communities(g: Graph, both_directions: bool = True, least: int = 3, threshold: float = 0.6, cliques: str = "maximal_cliques", communities: str = "communities") -> Graph:
     """Communities: components of the maximal cliques, two of sizes a and b being linked if they share at least
     ceil(threshold * (a + b) * (a*a + b*b) / (4*a*b)) vertices."""

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..runtime import BROADCAST_ROWS, drop, heavy_keys, rows_of, spill, split_join, together
+from ..runtime import BROADCAST_ROWS, drop, heavy_keys, mixed, rows_of, spill, split_join, together
 from .direction import both_ways, in_order, neighbours, pairs
 
 #: Links that are solved in one task at most.
 LAST_LINKS = 200_000
+#: Links from which, and up to which, sketches of reach go by slices of their registers; registers of a slice over all vertices, and numbers worked on at once.
+REACH_LEAST, REACH_LINKS, REACH_NUMBERS, REACH_BLOCK = 200_000, 5_000_000, 1 << 26, 1 << 24
 
 
 def shortest_path(g: Graph, start: str, length: str | None = None, iterations: int | None = 10, name: str = "distance") -> DataFrame:
@@ -203,14 +205,20 @@ def distances_by_length(g: Graph, length: str | None, sources: DataFrame, direct
     return best.drop("new")
 
 
-def _reach(g: Graph, direction: str, most: int, bits: int | None):
-    """For every hop count the number of vertices that reach each vertex: id, d, size. Exact sets or HLL sketches of ``bits``."""
+def _reach(g: Graph, direction: str, most: int, bits: int | None, in_memory: int = REACH_LINKS):
+    """For every hop count the number of vertices that reach each vertex: id, d, size. Exact sets or HLL sketches of ``bits``.
+
+    Sketches of a graph of at most ``in_memory`` links, unless it is small, go by slices of their registers (:func:`_reach_by_registers`): no sketch is written.
+    """
     step = spill(pairs(g.need_edges(), direction).where("center <> other").distinct())
+    if bits and REACH_LEAST <= rows_of(step) <= in_memory:
+        return _reach_by_registers(step, g.vertices.select("id"), most, bits)
     ids = g.vertices.select("id")
     make = (lambda c: F.hll_sketch_agg(c, F.lit(bits))) if bits else F.collect_set
     size = F.hll_sketch_estimate if bits else (lambda c: F.size(c).cast("bigint"))
     state = spill(ids.groupBy("id").agg(make("id").alias("s")))
-    sizes = [state.select("id", F.lit(0).alias("d"), size("s").alias("size"))]
+    now = spill(state.select("id", F.lit(0).alias("d"), size("s").alias("size")))
+    sizes = [now]
     for d in range(1, most + 1):
         moved = step.select(F.col("center").alias("to"), F.col("other").alias("id")).join(state, "id").select(F.col("to").alias("id"), "s")
         every = moved.unionByName(state)
@@ -218,15 +226,89 @@ def _reach(g: Graph, direction: str, most: int, bits: int | None):
             after = spill(every.groupBy("id").agg(F.hll_union_agg("s").alias("s")))
         else:
             after = spill(every.select("id", F.explode("s").alias("x")).groupBy("id").agg(F.collect_set("x").alias("s")))
-        sizes.append(after.select("id", F.lit(d).alias("d"), size("s").alias("size")))
-        grown = after.select("id", size("s").alias("n")).join(state.select("id", size("s").alias("o")), "id").where("n > o").limit(1).count()
+        before, now = now, spill(after.select("id", F.lit(d).alias("d"), size("s").alias("size")))
+        sizes.append(now)
+        drop(state)  # its numbers are written; the sets or sketches are the most of the disk
         state = after
-        if not grown:
+        if not now.join(before.select("id", F.col("size").alias("o")), "id").where("size > o").limit(1).count():
             break
-    out = sizes[0]
-    for x in sizes[1:]:
-        out = out.unionByName(x)
-    return out
+    drop(state)
+    return together(sizes)
+
+
+def _reach_by_registers(step: DataFrame, ids: DataFrame, most: int, bits: int) -> DataFrame:
+    """id, d, size by HLL of ``2 ** bits`` registers. Registers do not depend on each other: a task has the links and some registers of all vertices, and follows them through all hops.
+
+    What a vertex needs for its estimate at a hop are the sum of 2 ** -register and the number of registers at 0; both are added up in one integer, over the slices of a task and then over the tasks.
+    """
+    spark = step.sparkSession
+    t = step.orderBy("center").toArrow()
+    center, other = (t.column(c).to_numpy() for c in ("center", "other"))
+    del t
+    at, first = np.unique(center, return_index=True)
+    names = np.union1d(at, other)
+    links = names, np.searchsorted(names, at).astype(np.int32), np.append(first, len(center)).astype(np.int32), np.searchsorted(names, other).astype(np.int32)
+    del center, other, at, first
+    n, m = len(names), 1 << bits
+    width = max(1, min(m, REACH_NUMBERS // n))
+    slices = -(-m // width)
+    tasks = min(slices, spark.sparkContext.defaultParallelism)
+    whole = spark.sparkContext.broadcast(links)
+
+    def run(batches):
+        names, at, begin, other = whole.value
+        h = mixed(names.astype(np.uint64)[:, None], 1)
+        bucket, rest = (h & np.uint64(m - 1)).astype(np.int64), (h >> np.uint64(bits)) | np.uint64(1 << 30)
+        rho = (np.log2((rest & (~rest + np.uint64(1))).astype(np.float64)) + 1).astype(np.uint8)
+        value = np.array([(1 << 44) + (1 << 31)] + [1 << (31 - i) for i in range(1, 32)], np.int64)
+        total = np.zeros((most + 1, len(names)), np.int64)
+        cuts = [0]  # centers in blocks of links, as each block's other ends are gathered
+        while cuts[-1] < len(at):
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(begin, begin[cuts[-1]] + REACH_BLOCK // width, "right")) - 1))
+
+        for k in (x for b in batches for x in b.column(0).to_pylist()):
+            for j in range(k * width, m, tasks * width):
+                mine = np.flatnonzero((bucket >= j) & (bucket < j + width))
+                state = np.zeros((len(names), min(width, m - j)), np.uint8)
+                state[mine, bucket[mine] - j] = rho[mine]
+                here = np.full(len(names), value[0] * state.shape[1])
+                for d in range(most + 1):
+                    moved = np.zeros(len(names), bool)
+                    if d:
+                        after = state.copy()
+                        for a, b in zip(cuts, cuts[1:]):
+                            most_near = np.maximum.reduceat(state[other[begin[a] : begin[b]]], begin[a:b] - begin[a], axis=0)
+                            old = state[at[a:b]]
+                            new = np.maximum(old, most_near)
+                            moved[at[a:b]] = (new != old).any(axis=1)
+                            after[at[a:b]] = new
+                        state = after
+                    else:
+                        moved[mine] = True
+                    changed = np.flatnonzero(moved)
+                    for i in range(0, len(changed), REACH_BLOCK // 8 // width + 1):
+                        rows = changed[i : i + REACH_BLOCK // 8 // width + 1]
+                        here[rows] = value[state[rows]].sum(axis=1)
+                    if not len(changed):
+                        total[d:] += here
+                        break
+                    total[d] += here
+        for i in range(0, len(names), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + (1 << 16)]), *(pa.array(x[i : i + (1 << 16)]) for x in total)], names=["id", *(f"s{d}" for d in range(most + 1))])
+
+    parts = spark.range(0, tasks, 1, tasks).mapInArrow(run, "id bigint, " + ", ".join(f"s{d} bigint" for d in range(most + 1)))
+    summed = parts.groupBy("id").agg(*(F.sum(f"s{d}").alias(f"s{d}") for d in range(most + 1)))
+
+    def size(s):
+        zero, weight = F.shiftright(s, 44), s.bitwiseAND(F.lit((1 << 44) - 1)) / float(1 << 31)
+        raw = F.lit(0.7213 / (1 + 1.079 / m) * m * m) / weight
+        few = F.lit(float(m)) * F.log(F.lit(float(m)) / F.greatest(zero, F.lit(1)))
+        return F.round(F.when((zero > 0) & (few <= 2.5 * m), few).otherwise(raw)).cast("bigint")
+
+    each = F.array(*(F.struct(F.lit(d).alias("d"), (size(F.col(f"s{d}")) if d else F.lit(1).cast("bigint")).alias("size")) for d in range(most + 1)))
+    out = spill(summed.select("id", F.inline(each)))
+    alone = ids.join(out.where("d = 0").select("id"), "id", "left_anti").select("id", F.lit(0).alias("d"), F.lit(1).cast("bigint").alias("size"))
+    return out.unionByName(alone)
 
 
 def centrality(g: Graph, algorithm: str = "Harmonic", direction: str = "incoming edges", most: int = 10, bits: int | None = 12, name: str = "centrality") -> DataFrame:
