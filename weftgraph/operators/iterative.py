@@ -16,7 +16,7 @@ from .direction import both_ways, in_order, neighbours, pairs
 #: Links that are solved in one task at most.
 LAST_LINKS = 200_000
 #: Links from which, and up to which, sketches of reach go by slices of their registers; registers of a slice over all vertices, and numbers worked on at once.
-REACH_LEAST, REACH_LINKS, REACH_NUMBERS, REACH_BLOCK = 200_000, 5_000_000, 1 << 26, 1 << 24
+REACH_LEAST, REACH_LINKS, REACH_NUMBERS, REACH_BLOCK = 200_000, 5_000_000, 1 << 26, 1 << 18
 
 
 def shortest_path(g: Graph, start: str, length: str | None = None, iterations: int | None = 10, name: str = "distance") -> DataFrame:
@@ -242,13 +242,17 @@ def _reach_by_registers(step: DataFrame, ids: DataFrame, most: int, bits: int) -
     What a vertex needs for its estimate at a hop are the sum of 2 ** -register and the number of registers at 0; both are added up in one integer, over the slices of a task and then over the tasks.
     """
     spark = step.sparkSession
-    t = step.orderBy("center").toArrow()
+    t = step.orderBy("center", "other").toArrow()
     center, other = (t.column(c).to_numpy() for c in ("center", "other"))
     del t
-    at, first = np.unique(center, return_index=True)
+    at, first, size = np.unique(center, return_index=True, return_counts=True)
     names = np.union1d(at, other)
-    links = names, np.searchsorted(names, at).astype(np.int32), np.append(first, len(center)).astype(np.int32), np.searchsorted(names, other).astype(np.int32)
-    del center, other, at, first
+    order = np.argsort(-size, kind="stable")  # hubs first, then centers of as many links side by side
+    size = size[order]
+    begin = np.append(0, np.cumsum(size))
+    other = other[np.repeat(first[order] - begin[:-1], size) + np.arange(len(other))]
+    links = names, np.searchsorted(names, at[order]).astype(np.int32), begin.astype(np.int32), np.searchsorted(names, other).astype(np.int32)
+    del center, other, at, first, size, begin, order
     n, m = len(names), 1 << bits
     width = max(1, min(m, REACH_NUMBERS // n))
     slices = -(-m // width)
@@ -262,9 +266,22 @@ def _reach_by_registers(step: DataFrame, ids: DataFrame, most: int, bits: int) -
         rho = (np.log2((rest & (~rest + np.uint64(1))).astype(np.float64)) + 1).astype(np.uint8)
         value = np.array([(1 << 44) + (1 << 31)] + [1 << (31 - i) for i in range(1, 32)], np.int64)
         total = np.zeros((most + 1, len(names)), np.int64)
+        size = np.diff(begin)
+        hubs = int((size > 32).sum())
         cuts = [0]  # centers in blocks of links, as each block's other ends are gathered
-        while cuts[-1] < len(at):
-            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(begin, begin[cuts[-1]] + REACH_BLOCK // width, "right")) - 1))
+        while cuts[-1] < hubs:
+            cuts.append(min(hubs, max(cuts[-1] + 1, int(np.searchsorted(begin, begin[cuts[-1]] + REACH_BLOCK // width, "right")) - 1)))
+        cuts += list(range(hubs + REACH_BLOCK // width + 1, len(at), REACH_BLOCK // width + 1)) + [len(at)] * (hubs < len(at))
+
+        def near(state, a, b):
+            """The most of each register among the neighbours of the centers from a to b."""
+            if a < hubs:
+                return np.maximum.reduceat(state[other[begin[a] : begin[b]]], begin[a:b] - begin[a], axis=0)
+            out = state[other[begin[a:b]]]
+            for i in range(1, int(size[a])):
+                c = a + int(np.searchsorted(-size[a:b], -i))
+                np.maximum(out[: c - a], state[other[begin[a:c] + i]], out=out[: c - a])
+            return out
 
         for k in (x for b in batches for x in b.column(0).to_pylist()):
             for j in range(k * width, m, tasks * width):
@@ -277,17 +294,16 @@ def _reach_by_registers(step: DataFrame, ids: DataFrame, most: int, bits: int) -
                     if d:
                         after = state.copy()
                         for a, b in zip(cuts, cuts[1:]):
-                            most_near = np.maximum.reduceat(state[other[begin[a] : begin[b]]], begin[a:b] - begin[a], axis=0)
                             old = state[at[a:b]]
-                            new = np.maximum(old, most_near)
+                            new = np.maximum(old, near(state, a, b))
                             moved[at[a:b]] = (new != old).any(axis=1)
                             after[at[a:b]] = new
                         state = after
                     else:
                         moved[mine] = True
                     changed = np.flatnonzero(moved)
-                    for i in range(0, len(changed), REACH_BLOCK // 8 // width + 1):
-                        rows = changed[i : i + REACH_BLOCK // 8 // width + 1]
+                    for i in range(0, len(changed), REACH_BLOCK // 4 // width + 1):
+                        rows = changed[i : i + REACH_BLOCK // 4 // width + 1]
                         here[rows] = value[state[rows]].sum(axis=1)
                     if not len(changed):
                         total[d:] += here
