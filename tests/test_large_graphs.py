@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import DataFrame
 
-from weftgraph.operators import communities, iterative, matching
+from weftgraph.operators import communities, iterative, learn, matching
 from weftgraph.queries import more_queries
 
 
@@ -154,3 +154,17 @@ def test_sketches_of_a_hop_are_deleted_after_the_next(spark, adjacency, monkeypa
     got = {(r.id, r.d): r.size for r in iterative._reach(g, "incoming edges", 4, 12).collect()}
     assert got[7, 4] == 5 and got[0, 4] == 1
     assert dropped.count(["id", "s"]) == 5
+
+
+def test_embedding_is_learned_in_parts_and_walks_move_once(spark, adjacency, monkeypatch):
+    parts, written, spill = [], [], learn.spill
+    whole = learn.Word2Vec
+    monkeypatch.setattr(learn, "Word2Vec", lambda **k: parts.append(k.get("numPartitions", 1)) or whole(**k))
+    monkeypatch.setattr(learn, "spill", lambda df: written.append(df.columns) or spill(df))
+    g = adjacency({0: [1, 2], 1: [2], 2: [], 3: []})
+    e = {r.id: r.embedding for r in learn.embed_vertices(g, 1, 8, 5, 3, 3).collect()}
+    assert set(e) == {0, 1, 2, 3} and all(len(x) == 8 for x in e.values())
+    assert parts == [spark.sparkContext.defaultParallelism] and parts[0] > 1
+    assert sum("walk" in c for c in written) == 1
+    walks = sorted((r.walk for r in learn.random_walks(g, 5, 2, 1).collect()), key=len)
+    assert [len(w) for w in walks] == [1, 1] + [5] * 6 and walks[0] == ["3"]
