@@ -1,9 +1,11 @@
 """What once failed on large graphs, at its smallest."""
 
 import random
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 
@@ -47,6 +49,36 @@ def test_maximal_cliques_of_a_dense_graph(spark, monkeypatch, least, block):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("earlier", [0, 5000])
+def test_many_cliques_of_one_vertex_are_not_held_together(earlier):
+    """3 ** 9 cliques with one first member, against which a batch of 5,000 earlier neighbours is tested."""
+    core = [(i, j) for i in range(27) for j in range(i + 1, 27) if i // 3 != j // 3]
+    rows = [(99, None, i, j) for i, j in core] + [(99, 1000 + w, p, None) for w in range(earlier) for p in core[w % len(core)]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + 10000])], names=["at", "w", "p", "q"]) for i in range(0, len(rows), 10000)]
+    tracemalloc.start()
+    try:
+        got = sum(b.num_rows for b in communities._first_cliques(3)(iter(batches)))
+        assert got == 3**9 and tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("block", [3, 40, 1 << 20])
+@pytest.mark.parametrize("pivots", [0, 64])
+def test_earlier_neighbours_in_the_file_leave_out_the_same_cliques(monkeypatch, block, pivots):
+    monkeypatch.setattr(communities, "BLOCK", block)
+    monkeypatch.setattr(communities, "PIVOTS", pivots)
+    rng = random.Random(9)
+    links = sorted({(i, j) for i, j in ((rng.randrange(20), rng.randrange(20)) for _ in range(150)) if i < j})
+    near = {w: set(rng.sample(range(20), rng.randrange(1, 6))) for w in range(100, 160)}
+    rows = [(99, None, *x) for x in links] + [(99, w, p, None) for w in near for p in near[w]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + 7])], names=["at", "w", "p", "q"]) for i in range(0, len(rows), 7)]
+    got = [tuple(x) for b in communities._first_cliques(3)(iter(batches)) for x in b.column(0).to_pylist()]
+    want = {(*c, 99) for c in cliques_of(links, 2) if not any(near[w] >= {*c} for w in near)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) < len(cliques_of(links, 2))
+
+
 def test_no_row_of_the_clique_search_holds_a_hubs_neighbours(spark, monkeypatch):
     """A hub of 300 rays, half of them linked in pairs: what goes to Python has numbers only, no lists of neighbours or links."""
     edges = [(0, i) for i in range(1, 301)] + [(i, i + 1) for i in range(1, 150, 2)]

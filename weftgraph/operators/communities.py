@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from itertools import combinations, islice
+from tempfile import TemporaryFile
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,10 @@ from ..runtime import mixed, spill
 from . import iterative, metrics
 from .segment import from_labels, overlapping
 
-#: Numbers in a block of the tests whether a clique is extended by an earlier vertex.
+#: Numbers in a block of the tests whether a clique is extended by an earlier vertex, and in a block of cliques.
 BLOCK = 1 << 20
+#: Excluded candidates up to which all of them are tried for branching.
+PIVOTS = 64
 
 
 def find_connected_components(g: Graph, directions: str = "ignore directions", name: str = "connected_components") -> Graph:
@@ -30,18 +33,21 @@ def find_triangles(g: Graph, both_directions: bool = False, name: str = "triangl
     return g.with_segmentation(name, Segmentation(Graph(t.select(F.col("sid").alias("id"))), t.select(F.explode(F.array("a", "b", "c")).alias("vid"), "sid")))
 
 
-def _pivot_cliques(near: list[int], least: int):
-    """All maximal cliques of at least ``least`` vertices 0, 1, ..., whose neighbours are the bits of ``near``, as bits: by branching on what the best-linked candidate does not cover. No recursion."""
-    stack = [(0, (1 << len(near)) - 1, 0)]
+def _pivot_cliques(near: list[int], n: int, least: int):
+    """All maximal cliques of at least ``least`` of the vertices 0, 1, ..., n - 1, whose neighbours are the bits of ``near``, as bits: by branching on what the best-linked candidate does not cover. No recursion.
+
+    Vertices from n on belong to no clique, but what one of them extends is left out; their own bits in ``near`` are those below n only."""
+    inside = (1 << n) - 1
+    stack = [(0, inside, (1 << len(near)) - 1 ^ inside)]
     while stack:
         r, p, x = stack.pop()
         if not p and not x:
             if r.bit_count() >= least:
                 yield r
             continue
-        if r.bit_count() + p.bit_count() < least:
+        if not p or r.bit_count() + p.bit_count() < least:
             continue
-        left = p & ~near[max(_bits(p | x), key=lambda v: (p & near[v]).bit_count())]
+        left = p & ~near[max(_bits(p | (x if x.bit_count() <= PIVOTS else x & inside)), key=lambda v: (p & near[v]).bit_count())]
         for v in _bits(left):
             stack.append((r | 1 << v, p & near[v], x & near[v]))
             p ^= 1 << v
@@ -55,11 +61,21 @@ def _bits(x: int):
         x ^= low
 
 
+def _numbers(rows: np.ndarray) -> list[int]:
+    """Rows of bits, eight a byte, as numbers."""
+    return [int.from_bytes(x.tobytes(), "little") for x in rows]
+
+
 class _Fan:
-    """The cliques whose first member is ``at``: from the links (p, q) among its later neighbours, and then, for each earlier neighbour, which of those are its neighbours, too."""
+    """The cliques whose first member is ``at``: from the links (p, q) among its later neighbours, and then, for each earlier neighbour, which of those are its neighbours, too.
+
+    The cliques are never held together: they are found when all earlier neighbours are known, and go out some at a time. Of the earlier neighbours, different rows of bits of up to about 2 * ``BLOCK`` bytes
+    are held for the search; the rest goes to a file of the task, with which the cliques found are compared.
+    """
 
     def __init__(self, at: int, least: int):
         self.at, self.least, self.links, self.ids = at, least, [], None
+        self.held, self.size, self.file = [], 0, None
 
     def link(self, p: np.ndarray, q: np.ndarray) -> None:
         self.links.append((p, q))
@@ -68,46 +84,68 @@ class _Fan:
         p, q = (np.concatenate(x) for x in zip(*self.links))
         self.links = []
         self.ids, at = np.unique(np.concatenate([p, q]), return_inverse=True)
-        near = [0] * len(self.ids)
-        for i, j in zip(*(x.tolist() for x in np.split(at, 2))):
-            near[i] |= 1 << j
-            near[j] |= 1 << i
-        wide = -(-len(near) // 8)
-        found = [np.frombuffer(c.to_bytes(wide, "little"), np.uint8) for c in _pivot_cliques(near, self.least - 1)]
-        self.cliques = np.stack(found) if found else np.zeros((0, wide), np.uint8)
+        i, j = np.split(at, 2)
+        i, j = np.append(i, j), np.append(j, i)
+        order = np.argsort(i, kind="stable")
+        self.near = [x for rows in self.packed(i[order], j[order]) for x in _numbers(rows)]
 
-    def rows(self, cliques: np.ndarray) -> np.ndarray:
-        return np.unpackbits(cliques, axis=1, count=len(self.ids), bitorder="little")
+    def packed(self, k: np.ndarray, pos: np.ndarray):
+        """Rows 0, 1, ..., eight bits a byte, of which row ``k`` has the bits ``pos``, in the order of ``k``; some at a time."""
+        step = max(1, BLOCK // len(self.ids))
+        for a in range(0, int(k[-1]) + 1 if len(k) else 0, step):
+            s, e = np.searchsorted(k, [a, a + step])
+            rows = np.zeros((int(k[e - 1]) + 1 - a, len(self.ids)), bool)
+            rows[k[s:e] - a, pos[s:e]] = True
+            yield np.packbits(rows, axis=1, bitorder="little")
+
+    def unpacked(self, rows: np.ndarray) -> np.ndarray:
+        return np.unpackbits(rows, axis=1, count=len(self.ids), bitorder="little")
 
     def before(self, w: np.ndarray, m: np.ndarray) -> None:
-        """Drop what an earlier neighbour extends. All rows of a ``w`` are in one call, in its order."""
+        """Take what of the later neighbours earlier ones are linked to. All rows of a ``w`` are in one call, in its order."""
         pos = np.minimum(np.searchsorted(self.ids, m), len(self.ids) - 1)
         keep = self.ids[pos] == m
         w, pos = w[keep], pos[keep]
         _, k, n = np.unique(w, return_inverse=True, return_counts=True)
         keep = n[k] >= self.least - 1  # others have no clique among their neighbours
         _, k = np.unique(w[keep], return_inverse=True)
-        pos = pos[keep]
-        count = int(k[-1]) + 1 if len(k) else 0
-        block = max(1, BLOCK // len(self.ids))
-        for i in range(0, count, block):
-            if not len(self.cliques):
-                return
-            here = (k >= i) & (k < i + block)
-            mask = np.zeros((min(block, count - i), len(self.ids)), np.float32)
-            mask[k[here] - i, pos[here]] = 1
-            alive = []
-            for j in range(0, len(self.cliques), block):
-                part = self.rows(self.cliques[j : j + block]).astype(np.float32)
-                alive.append(~(part @ mask.T == part.sum(axis=1)[:, None]).any(axis=1))
-            self.cliques = self.cliques[np.concatenate(alive)]
+        for rows in self.packed(k, pos[keep]):
+            if self.file is not None:
+                self.file.write(rows.tobytes())
+                continue
+            self.held.append(rows)
+            self.size += rows.size
+            if self.size > 2 * BLOCK:
+                self.held = [np.unique(np.concatenate(self.held), axis=0)]
+                self.size = self.held[0].size
+                if self.size > BLOCK:
+                    self.file = TemporaryFile()
+
+    def found(self):
+        """The cliques without ``at``, as rows of bits, some at a time."""
+        n, wide = len(self.ids), -(-len(self.ids) // 8)
+        held = np.unique(np.concatenate(self.held), axis=0) if self.held else np.zeros((0, wide), np.uint8)
+        across = _numbers(np.packbits(self.unpacked(held).T, axis=1, bitorder="little"))
+        cliques = _pivot_cliques([x | y << n for x, y in zip(self.near, across)] + _numbers(held), n, self.least - 1)
+        while some := list(islice(cliques, max(1, BLOCK // n))):
+            rows = np.frombuffer(b"".join(c.to_bytes(wide, "little") for c in some), np.uint8).reshape(-1, wide)
+            yield rows if self.file is None else rows[~self.extended(rows)]
+
+    def extended(self, cliques: np.ndarray) -> np.ndarray:
+        """Whether an earlier neighbour in the file is linked to the whole clique."""
+        part = self.unpacked(cliques).astype(np.float32)
+        size, out = part.sum(axis=1)[:, None], np.zeros(len(part), bool)
+        step = max(1, BLOCK // max(part.shape)) * cliques.shape[1]
+        self.file.seek(0)
+        while block := self.file.read(step):
+            rows = self.unpacked(np.frombuffer(block, np.uint8).reshape(-1, cliques.shape[1])).astype(np.float32)
+            out |= (part @ rows.T == size).any(axis=1)
+        return out
 
     def members(self):
-        """Sorted members and their number for each clique left, some at a time."""
-        step = max(1, BLOCK // len(self.ids))
-        for j in range(0, len(self.cliques), step):
-            part = self.rows(self.cliques[j : j + step])
-            k, i = np.nonzero(np.c_[part, np.ones(len(part), np.uint8)])
+        """Sorted members and their number for each clique, some at a time."""
+        for rows in self.found():
+            k, i = np.nonzero(np.c_[self.unpacked(rows), np.ones(len(rows), np.uint8)])
             ids = np.append(self.ids, self.at)[i]
             ids = ids[np.lexsort((ids, k))]
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(k))), pa.int32()), pa.array(ids, pa.int64()))], names=["members"])
@@ -155,8 +193,8 @@ def _ended(fan: _Fan | None, rest):
 def maximal_cliques(edges: DataFrame, both_directions: bool = False, least: int = 3) -> DataFrame:
     """Arrays of the members of all maximal cliques of at least ``least`` vertices: members, in order.
 
-    Every clique is found at its member of lowest (degree, id), from the links among that vertex's later neighbours, of which there are at most sqrt(2 * pairs); then
-    those that an earlier neighbour extends are dropped. Both come from the triangles as sorted rows that stream through the task, so no row or task holds a hub's neighbours.
+    Every clique is found at its member of lowest (degree, id), from the links among that vertex's later neighbours, of which there are at most sqrt(2 * pairs), without
+    those that an earlier neighbour extends. Both come from the triangles as sorted rows that stream through the task, so no row holds a hub's neighbours; a task holds no more than a block of the cliques.
     """
     pairs = spill(metrics.simple_pairs(edges, both_directions))
     t = metrics.fans(spill(metrics.oriented(pairs)))
